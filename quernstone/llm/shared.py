@@ -1,0 +1,17 @@
+"""Cutting lineage: intermediate tables in the folder all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed into spark.checkpoint.dir, so that it is computed once and survives the loss of executors.
+
+    Only where no folder is set (a local session, as in tests) one is made."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
