@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.session import ship_package
+
 EPOCH = "0001-01-01 00:00:00"
 
 
@@ -42,6 +44,7 @@ def schema(ddl: str) -> T.StructType:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], ddl: str) -> DataFrame:
     """Run ``make()`` once per task and its result on each Arrow batch, as columns of Python lists in and out."""
+    ship_package(df.sparkSession)
     out = schema(ddl)
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in out.fields])
 
