@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -28,3 +28,12 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(own, os.path.relpath(own, os.path.dirname(root)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed into spark.checkpoint.dir, the folder all executors share, so that it is computed once, its
+    lineage is cut and the loss of executors does no harm. Only where no folder is set (a local session, as in tests) one is made."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
