@@ -23,8 +23,10 @@ def live_documents(doc_info: DataFrame) -> DataFrame:
 
 
 def occurrences(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, n): distinct positions over all rows of the pair. The group is bounded by the document's size. Null positions count nothing."""
-    rows = postings.where("term is not null and doc_id is not null").select("term", "doc_id", F.filter(F.coalesce("positions", F.array().cast("array<int>")), lambda p: p.isNotNull()).alias("positions"))
+    """(term, doc_id, n): distinct positions over all rows of the pair. The group is bounded by the document's size. Null positions count nothing.
+
+    Rows are partitioned by document once; grouping by pair and the later join with the documents need no other shuffle."""
+    rows = postings.repartition("doc_id").where("term is not null and doc_id is not null").select("term", "doc_id", F.filter(F.coalesce("positions", F.array().cast("array<int>")), lambda p: p.isNotNull()).alias("positions"))
     pairs = rows.groupBy("term", "doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("n"))
     return pairs.where("n > 0")
 
