@@ -71,7 +71,7 @@ def shapes_of(body: list[tuple[int, str, str]]) -> tuple[dict[Shape, int], int,
         link_full = bool(links) and beside <= 18 * len(links) + 12 and n <= 9 * len(links)
         tag_full = len(tags) >= 2 and sum(map(len, tags)) * 2 >= len(text.strip())
         dense = sum(w in keys for w in low)
-        key_full = bool(keys) and n >= 3 and dense * 3 >= n and strongest * 10 >= total and strongest >= 8
+        key_full = bool(keys) and n >= 3 and (dense * 5 >= 2 * n or n >= 8 and dense * 4 >= n) and strongest * 8 >= total and strongest >= 8
         upper = sum(w[0].isupper() for w in words)
         capitals = 0 if not upper else 2 if upper * 2 > n else 1
         seps = "".join(s for s, mark in _SEPS if mark in bare)
