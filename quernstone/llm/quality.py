@@ -33,6 +33,8 @@ _LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)")
 _MOJIBAKE = re.compile(r"Ã[\x80-\xbf©¨¼¶¤Ÿ±³¡­]|Â[\x80-\xbf]|â€|ï¿½|�")
 _NUMBER = re.compile(r"^[-+(]?[$€£]?\d[\d.,:%/-]*\)?$")
 _INNER = re.compile(r"\w[^\w\s'’.,/@&:;+)(\-\]\[]+\w")
+_SPLIT_BY_DIGIT = re.compile(r"[^\W\d_][01](?=[^\W\d_])")
+_NOISE = "~^|#*_"
 _MIXED = re.compile(r"^(?=\w*\d)(?=\w*[^\W\d_])\w+$")
 
 
@@ -63,6 +65,9 @@ def observe(line: str) -> tuple[int, dict[str, float]]:
         return _OB["encoded"], figures
     if digits and len(tokens) >= 3 and sum(bool(_MIXED.match(t)) for t in tokens) * 5 >= 2 * len(tokens):
         return _OB["random"], figures
+    noise = sum(map(text.count, _NOISE)) + (len(_SPLIT_BY_DIGIT.findall(text)) if digits else 0)
+    if noise >= 3 and noise * 22 >= size and n >= 3 and "](" not in line and "://" not in line and not line.lstrip().startswith("|"):
+        return _OB["broken"], figures
     inner = len(_INNER.findall(text)) if marks * 25 >= size else 0
     if inner * 7 >= len(tokens) + 4 and "](" not in line and "://" not in line and not line.lstrip().startswith("|") and ";" not in text[: 40]:
         return _OB["broken"], figures
@@ -78,6 +83,25 @@ def observe(line: str) -> tuple[int, dict[str, float]]:
     return _OB["word" if n <= 2 else "names"], figures
 
 
+_RULE = re.compile(r"^[\s|:*_=-]*$")
+
+
+def sequence(body: list[tuple[int, str, str]]) -> tuple[list[str], list[dict[str, float]], list[int], list[int]]:
+    """Lines judged (no headings, code or rules), their figures, the classes seen, and where each line's begin.
+
+    A long line of prose counts as several sentences, so that a paragraph between table rows or names is not swallowed by them."""
+    lines, figures, seen, starts = [], [], [], []
+    for _, sym, line in body:
+        if sym in ("heading", "code") or not sym and _RULE.match(line):
+            continue
+        o, own = observe(line)
+        lines.append(line)
+        figures.append(own)
+        starts.append(len(seen))
+        seen += [o] * (min(int(own["chars"]) // 60 + 1, 8) if o == _OB["sentence"] else 1)
+    return lines, figures, seen, starts
+
+
 @dataclass
 class LineHMM:
     """Log potentials: start (4), change (4 x 4), emit (4 x N_OB)."""
@@ -91,7 +115,7 @@ class LineHMM:
     def begin(cls) -> LineHMM:
         """Potentials without any labelled page; the pseudo-counts of learning."""
         likely = {"prose": ("sentence", "text"), "list": ("names", "item", "word"), "table": ("columns", "figures"), "junk": ("symbols", "broken", "random", "encoded")}
-        emit = np.full((4, N_OB), 0.01)
+        emit = np.full((4, N_OB), 0.002)
         for i, label in enumerate(LABELS):
             emit[i, [_OB[o] for o in likely[label]]] += 1 / len(likely[label])
         emit[3, _OB["figures"]] += 0.2
@@ -138,14 +162,15 @@ class LineHMM:
         return out
 
     def learn(self, seen: list[list[int]], labels: list[int], rounds: int = 3) -> LineHMM:
-        """Viterbi training: states of the labelled pages' lines with the page's label favoured, then counts over pseudo-counts."""
+        """Viterbi training: states of the labelled pages' lines with the page's label favoured, less in each round and not at all
+        in the last, so that wrong labels wash out; then counts over pseudo-counts."""
         prior, model = LineHMM.begin(), self
-        for _ in range(rounds):
+        for step in range(rounds):
             start, change, emit = np.exp(prior.start) * 8, np.exp(prior.change) * 100, np.exp(prior.emit) * 100
             for label in range(4):
                 own = [s for s, x in zip(seen, labels) if x == label and s]
                 lift = np.zeros((4, 1))
-                lift[label] = 1.0
+                lift[label] = 1.0 - step / max(rounds - 1, 1)
                 lean = LineHMM(model.start, model.change, model.emit + lift)
                 for s, path in zip(own, lean.paths(own)):
                     start[path[0]] += 1
@@ -171,7 +196,7 @@ def fit(model: TreeModel, rows: list[tuple]) -> LineHMM:
     if not rows:
         return LineHMM.begin()
     found = BodyFinder(model)([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])[0]
-    seen = [[observe(line)[0] for _, sym, line in body_lines(*f) if sym not in ("heading", "code")] for f in found]
+    seen = [sequence(body_lines(*f))[2] for f in found]
     return LineHMM.begin().learn(seen, [LABELS.index(r[3]) for r in rows])
 
 
@@ -182,13 +207,14 @@ class Prose:
         self.hmm = hmm
 
     def __call__(self, bodies: list[list[tuple[int, str, str]]]) -> list[dict[str, float]]:
-        judged = [[observe(line) for _, sym, line in body if sym not in ("heading", "code")] for body in bodies]
+        judged = [sequence(body) for body in bodies]
         out = []
-        for body, lines, path in zip(bodies, judged, self.hmm.paths([[o for o, _ in x] for x in judged])):
-            size = np.array([f["chars"] for _, f in lines], float)
-            total = {k: sum(f[k] for _, f in lines) for k in ("chars", "words", "letters", "digits", "marks", "common")}
+        for (texts, lines, _, starts), states in zip(judged, self.hmm.paths([x[2] for x in judged])):
+            path = states[starts] if starts else states
+            size = np.array([f["chars"] for f in lines], float)
+            total = {k: sum(f[k] for f in lines) for k in ("chars", "words", "letters", "digits", "marks", "common")}
             chars, words = max(total["chars"], 1), max(total["words"], 1)
-            ends = sum(line.rstrip()[-1:] in (".", "!", "?", ":") for _, sym, line in body if sym not in ("heading", "code"))
+            ends = sum(line.rstrip()[-1:] in (".", "!", "?", ":") for line in texts)
             row = {"lines": len(lines), "words": total["words"], "mean_word": total["letters"] / words, "mark_ratio": total["marks"] / chars, "digit_ratio": total["digits"] / chars, "end_ratio": ends / max(len(lines), 1), "common_ratio": total["common"] / words}
             for i, label in enumerate(LABELS):
                 row[label] = float(size[path == i].sum() / size.sum()) if len(lines) else 0.0
