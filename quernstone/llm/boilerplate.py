@@ -389,22 +389,30 @@ def body_lines(lines: list[str], syms: list[int], drop: set[int]) -> list[tuple[
     return [(i, "" if syms[i] < 0 else SYMBOLS[syms[i]], line) for i, line in enumerate(lines) if i not in drop and (syms[i] >= 0 or line.strip())]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_chars: int = 50_000) -> TreeModel:
-    """Potentials from at most ``sample`` labelled pages (those of the smallest hashed ids) of at most ``max_chars``
-    characters. Null labels are left out; of several labels of a page the most frequent counts, then the first by name.
-    Without labelled pages the starting potentials stand. Only the bounded sample reaches the driver."""
+def labelled_pages(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_chars: int = 50_000) -> list:
+    """Rows (id, site, title, content_markdown, kind) of at most ``sample`` labelled pages, those of the smallest hashed ids, of
+    at most ``max_chars`` characters. Null labels are left out; of several labels of a page the most frequent counts, then the
+    first by name. Only this bounded sample reaches the driver; it is where all models here are learned."""
     votes = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(*KINDS)).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     best = votes.groupBy("doc_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("kind"))
-    chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "kind")
     # at most `sample` rows of two short strings: safe to broadcast at any size of the tables
-    rows = current_pages(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), "kind")), "id"), "url", "title", "content_markdown", "kind")
-    rows = rows.where(F.length("content_markdown") <= max_chars).select("id", host(F.col("url")).alias("site"), "title", "content_markdown", "kind").collect()
+    few = docs.select("id", "url", "title", "content_markdown", "crawled_at").join(F.broadcast(chosen), "id")
+    rows = current_pages(few, "url", "title", "content_markdown", "kind").where(F.length("content_markdown") <= max_chars)
+    return sorted(rows.select("id", host(F.col("url")).alias("site"), "title", "content_markdown", "kind").collect(), key=lambda r: r.id)
+
+
+def fit(rows: list) -> TreeModel:
+    """Potentials from labelled pages; without any the starting potentials stand."""
     model = TreeModel.start()
     if not rows:
         return model
-    rows.sort(key=lambda r: r.id)
     _, sym, block, page_of_block, _, _ = BodyFinder(model).read([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])
-    return model.learn(sym, block, page_of_block, np.array([KINDS.index(r.kind) for r in rows]))
+    return model.learn(sym, block, page_of_block, np.array([KINDS.index(r.kind) for r in rows])) if len(sym) else model
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_chars: int = 50_000) -> TreeModel:
+    return fit(labelled_pages(docs, labels, sample, max_chars))
 
 
 def boilerplate_lines(docs: DataFrame, model: TreeModel) -> DataFrame:

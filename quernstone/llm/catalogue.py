@@ -72,8 +72,10 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, boilerplate.TreeModel, quality.LineHMM]:
-    docs, tree = _tree(spark, d)
-    return docs, tree, quality.train(docs, read(spark, d, "page_labels"), tree)
+    docs = read(spark, d, "docs")
+    rows = boilerplate.labelled_pages(docs, read(spark, d, "page_labels"))
+    tree = boilerplate.fit(rows)
+    return docs, tree, quality.fit(tree, rows)
 
 
 def p7_quality(spark: SparkSession, d: str) -> DataFrame:

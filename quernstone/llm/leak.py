@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame

@@ -16,9 +16,8 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quernstone.llm.boilerplate import KINDS
+from quernstone.llm.boilerplate import labelled_pages
 from quernstone.llm.common import current_pages, map_rows
 
 # Names of HTML elements.
@@ -46,7 +45,7 @@ LATEX = re.compile(rf"{_CMD}|(?<![\w:\\/.])\\[A-Za-z]+\{{[^{{}}\n]*\}}|(?<![\\$\
 _HINT = {"html": ("<", "&"), "wiki": ("[[", "''", "==", "{|", "{{", "[http", "__", "#REDIRECT"), "latex": ("\\", "$")}
 _FORM = {"html": HTML, "wiki": WIKI, "latex": LATEX}
 
-_INLINE = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]|(?<=`)`(?!`))*?[^`\n]\1(?!`)")
+_INLINE = re.compile(r"(?<!`)(?:``(?!`)(?:[^`\n]|`(?!`))+``|`[^`\n]+`)(?!`)")
 _FENCE = re.compile(r"^ *(```|~~~)")
 
 
@@ -212,15 +211,9 @@ def best_region(lines: list[str], w: Weights) -> tuple[int, int, float]:
     return first, last, best
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, max_chars: int = 50_000) -> Weights:
-    """Weights from at most ``sample`` labelled pages (smallest hashed ids; null labels left out, of several the most frequent)."""
-    votes = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(*KINDS)).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-    best = votes.groupBy("doc_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("kind"))
-    chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows of two short strings: safe to broadcast at any size of the tables
-    rows = current_pages(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), "kind")), "id"), "content_markdown", "kind")
-    rows = rows.where(F.length("content_markdown") <= max_chars).select("id", "content_markdown", "kind").collect()
-    return Weights.learn([(r.content_markdown, r.kind) for r in sorted(rows, key=lambda r: r.id)])
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> Weights:
+    """Weights from at most ``sample`` labelled pages (see boilerplate.labelled_pages)."""
+    return Weights.learn([(r.content_markdown, r.kind) for r in labelled_pages(docs, labels, sample)])
 
 
 def cleaned_pages(docs: DataFrame, weights: Weights) -> DataFrame:

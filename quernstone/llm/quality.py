@@ -180,24 +180,14 @@ class LineHMM:
         return model
 
 
-def train(docs: DataFrame, labels: DataFrame, model: TreeModel, sample: int = 2000, max_chars: int = 50_000) -> LineHMM:
-    """From at most ``sample`` pages labelled prose, list, table or junk; see boilerplate.train for how labels count."""
-    votes = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-    best = votes.groupBy("doc_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("kind")).where(F.col("kind").isin(*LABELS))
-    chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows of two short strings: safe to broadcast at any size of the tables
-    rows = current_pages(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), "kind")), "id"), "url", "title", "content_markdown", "kind")
-    rows = rows.where(F.length("content_markdown") <= max_chars).select("id", host(F.col("url")).alias("site"), "title", "content_markdown", "kind").collect()
-    rows.sort(key=lambda r: r.id)
-    return fit(model, [(r.content_markdown, r.site, r.title, r.kind) for r in rows])
-
-
-def fit(model: TreeModel, rows: list[tuple]) -> LineHMM:
+def fit(model: TreeModel, rows: list) -> LineHMM:
+    """From the labelled pages (see boilerplate.labelled_pages) whose kind is prose, list, table or junk; without any the starting potentials stand."""
+    rows = [r for r in rows if r.kind in LABELS]
     if not rows:
         return LineHMM.begin()
-    found = BodyFinder(model)([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])[0]
+    found = BodyFinder(model)([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])[0]
     seen = [sequence(body_lines(*f))[2] for f in found]
-    return LineHMM.begin().learn(seen, [LABELS.index(r[3]) for r in rows])
+    return LineHMM.begin().learn(seen, [LABELS.index(r.kind) for r in rows])
 
 
 class Prose:

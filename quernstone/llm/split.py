@@ -73,7 +73,7 @@ def cuts_of(data: bytes, lengths: np.ndarray, limit: int, overlap: int) -> tuple
         return np.unique(at[at > 0])
 
     # a position inside a character is no place to cut
-    whole = np.flatnonzero([b & 0xC0 != 0x80 for b in data[:]] if len(data) < 1 else (np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    whole = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
     legal = np.unique(np.r_[token_at[whole], n])
     legal = legal[legal > 0]
     # a token often starts with the white space before a word: the place before that space counts as well as the one after
@@ -86,21 +86,22 @@ def cuts_of(data: bytes, lengths: np.ndarray, limit: int, overlap: int) -> tuple
     return chain(successors(n, [*ranks, legal], limit, overlap)), offsets
 
 
-def pieces_of(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
-    """(piece, tokens, tokens shared with the piece before). A text within the limit is one piece.
+def pieces_of(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int, int]]:
+    """(piece, tokens, tokens shared with the piece before, its first character's place in the text). A text within the limit is one piece.
 
     Every piece is counted anew by itself; should one exceed the limit there (cutting can split a merge), the
     text is cut again with a slightly lower one.
     """
     ids = enc.encode_ordinary(text)
     if len(ids) <= limit:
-        return [(text, len(ids), 0)]
+        return [(text, len(ids), 0, 0)]
     data = text.encode()
+    whole = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    char_at = np.r_[0, np.cumsum(whole)]
     lengths = np.array([len(enc.decode_single_token_bytes(i)) for i in ids], np.int64)
     aim = limit
     while True:
         cuts, offsets = cuts_of(data, lengths, aim, overlap)
-        whole = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
         out, fits = [], True
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             start = max(a - overlap, 0)
@@ -109,13 +110,13 @@ def pieces_of(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> lis
             piece = data[offsets[start] : offsets[b]].decode()
             n = len(enc.encode_ordinary(piece))
             fits &= n <= limit
-            out.append((piece, n, a - start))
+            out.append((piece, n, a - start, int(char_at[offsets[start]])))
         if fits or aim <= overlap + 64:
             return out
         aim -= 16
 
 
-PIECES = "doc_id bigint, piece int, text string, n_tokens int, shared int, doc_tokens int"
+PIECES = "doc_id bigint, piece int, text string, n_tokens int, shared int, start int, doc_tokens int"
 
 
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str | None = None) -> DataFrame:
@@ -128,13 +129,13 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
         enc = encoding(vocabulary)
 
         def work(b):
-            out = {k: [] for k in ("doc_id", "piece", "text", "n_tokens", "shared", "doc_tokens")}
+            out = {k: [] for k in ("doc_id", "piece", "text", "n_tokens", "shared", "start", "doc_tokens")}
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 n = len(enc.encode_ordinary(text))
                 if n <= limit:
                     continue
-                for k, (piece, size, shared) in enumerate(pieces_of(text, enc, limit, overlap)):
-                    for name, value in zip(out, (doc_id, k, piece, size, shared, n)):
+                for k, (piece, size, shared, start) in enumerate(pieces_of(text, enc, limit, overlap)):
+                    for name, value in zip(out, (doc_id, k, piece, size, shared, start, n)):
                         out[name].append(value)
             return out
 
