@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.fuzzy import similar_terms
@@ -18,12 +21,23 @@ def boolean_documents(postings: DataFrame, query: BooleanQuery) -> DataFrame:
     every = sorted({*must, *should, *bad})
     if not (must or should):
         return postings.select("doc_id").limit(0)
-    rows = postings.where(F.col("term").isin(every)).select("doc_id", "term").distinct()
-    hits = F.sum(F.col("term").isin(must).cast("int")) if must else F.lit(0)
-    any_of = F.max(F.col("term").isin(should)) if should else F.lit(False)
-    out = F.max(F.col("term").isin(bad)) if bad else F.lit(False)
-    counted = rows.groupBy("doc_id").agg(hits.alias("hits"), any_of.alias("any_of"), out.alias("out"))
-    return counted.where((((F.col("hits") == len(must)) & F.lit(bool(must))) | F.col("any_of")) & ~F.col("out")).select("doc_id")
+    # a bit per term: repeats do no harm, so one partial and one final aggregate are all there is
+    place = {t: i for i, t in enumerate(every)}
+    masks = [every[i : i + 60] for i in range(0, len(every), 60)]
+    bit = lambda group: F.coalesce(*[F.when(F.col("term") == t, F.lit(1 << (place[t] % 60)).cast("bigint")) for t in group], F.lit(0).cast("bigint"))
+    seen = postings.where(F.col("term").isin(every)).groupBy("doc_id").agg(*[F.bit_or(bit(g)).alias(f"m{i}") for i, g in enumerate(masks)])
+
+    def held(words: list[str], every_one: bool) -> Column:
+        tests = []
+        for i in range(len(masks)):
+            want = sum(1 << (place[w] % 60) for w in words if place[w] // 60 == i)
+            if want:
+                both = F.col(f"m{i}").bitwiseAND(F.lit(want).cast("bigint"))
+                tests.append(both == want if every_one else both != 0)
+        return reduce(and_ if every_one else or_, tests, F.lit(every_one))
+
+    wanted = (held(must, True) if must else F.lit(False)) | held(should, False)
+    return seen.where(wanted & ~held(bad, False)).select("doc_id")
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from quernstone.operators import cluster, crawl, graph, rank, retrieve, search
 from quernstone.operators.index import SearchIndex, from_tables, latest, tokens
 from quernstone.plans.oracle import SQL
 from quernstone.plans.query import SearchConfig, parse
+from quernstone.session import spread
 from quernstone.sources import seeds
 from quernstone.streaming import live
 
@@ -31,7 +32,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents")
+    return spread(_read(spark, d, "documents").select("doc_id", "text", "url", "n_chars"))
 
 
 def _index(spark: SparkSession, d: str) -> SearchIndex:

@@ -37,3 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, over all cores if its files make fewer than half as many tasks.
+
+    For work that is heavy per row (tokenizing, models): one small file would otherwise keep one core busy. Large tables have
+    more tasks than cores and stay as they are; what moves is at most what that few tasks read."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
