@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import boilerplate, distinctive, leak, markup, pack, quality, repeats, residue, spam, split
 from quernstone.llm.common import read
-from quernstone.session import written
+from quernstone.session import spread, written
 
 
 def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, boilerplate.TreeModel]:
@@ -17,6 +17,10 @@ def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, boilerplate.TreeModel
     return docs, boilerplate.train(docs, read(spark, d, "page_labels"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
+
+
 def p1_spam(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(*_tree(spark, d)).select("id", "kind", F.round("share", 6).alias("share"))
 
@@ -89,21 +93,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack.packed(written(pack.items_of(pack.token_lengths(read(spark, d, "documents")))))
+    return pack.packed(written(pack.items_of(pack.token_lengths(_documents(spark, d)))))
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).withColumn("similarity", F.round("similarity", 6))
+    return leak.leaks(_documents(spark, d), read(spark, d, "eval_items")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     # the exact check after the seeds: a run of twelve equal words; one row a document and item
-    exact = leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).where(F.col("run") >= leak.RUN)
+    exact = leak.leaks(_documents(spark, d), read(spark, d, "eval_items")).where(F.col("run") >= leak.RUN)
     return exact.select("doc_id", "item_id").distinct()
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_documents(read(spark, d, "documents"))
+    return split.split_documents(_documents(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
