@@ -186,7 +186,7 @@ def clean_markdown(text: Column) -> Column:
 
 def title_from_content(text: Column, fallback: Column) -> Column:
     """The first heading of level one or two in the first ten lines; else the fallback name in title case."""
-    lines = F.transform(F.slice(F.split(F.trim(text), "\n"), 1, 10), F.trim)
+    lines = F.transform(F.slice(F.split(F.trim(text), "\n"), 1, 10), lambda x: F.trim(x))
     heads = F.filter(lines, lambda x: F.startswith(x, F.lit("# ")) | F.startswith(x, F.lit("## ")))
     named = F.initcap(F.replace(F.regexp_replace(fallback, "\\.md$", ""), F.lit("-"), F.lit(" ")))
     return F.when(F.size(heads) > 0, F.trim(F.regexp_replace(F.get(heads, F.lit(0)), "^##? ", ""))).otherwise(named)

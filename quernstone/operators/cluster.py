@@ -12,7 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTok
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import STOPWORDS
+from quernstone.functions.text import STOPWORDS, title_from_content
 from quernstone.session import ship_package
 
 # Words of the web that say nothing of a text.
@@ -132,11 +132,30 @@ def summaries(docs: DataFrame, n: int = 8) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, summary string")
 
 
-def describe(docs: DataFrame, assigned: DataFrame, sources: int = 10) -> DataFrame:
-    """(cluster, docs, key_terms, topic, sources): one row per cluster. Terms are counted over the cluster with partial sums;
-    of the documents the ``sources`` first ids are named."""
+def describe(docs: DataFrame, assigned: DataFrame, sources: int = 10, points: int = 5, summary_sentences: int = 8, read: int = 50) -> DataFrame:
+    """(cluster, title, docs, key_terms, topic, key_points, summary, sources): one row per cluster.
+
+    Terms are counted over all documents of the cluster, with partial sums. Key points and summary come, as in a text of all documents one
+    after another of which only the beginning is looked at, from its first documents: at most ``read`` by id. Title and
+    ``sources`` name the first documents too. Nothing unbounded is gathered per cluster."""
     rows = docs.join(assigned, "doc_id")
     terms = key_terms(rows, key="cluster").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("t")).select("cluster", F.col("t.term").alias("key_terms"))  # at most ten a cluster
     size = rows.groupBy("cluster").agg(F.count("*").alias("docs"))
-    first = rows.select("cluster", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy("doc_id"))).where(F.col("n") <= sources).groupBy("cluster").agg(F.sort_array(F.collect_list("doc_id")).alias("sources"))
-    return size.join(terms, "cluster", "left").join(first, "cluster").select("cluster", "docs", "key_terms", topic(F.coalesce("key_terms", F.array().cast("array<string>"))).alias("topic"), "sources")
+    first = rows.select("cluster", "doc_id", "text").withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy("doc_id"))).where(F.col("n") <= read)
+    merged = first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("d"))
+    merged = merged.select("cluster", F.slice("d.doc_id", 1, sources).alias("sources"), F.array_join("d.text", "\n\n").alias("text"), title_from_content(F.get("d.text", F.lit(0)), F.get("d.doc_id", F.lit(0)).cast("string")).alias("title"))
+    whole = merged.select(F.col("cluster").alias("doc_id"), "text")
+    best = key_points(whole, points).groupBy(F.col("doc_id").alias("cluster")).agg(F.sort_array(F.collect_list(F.struct("place", "sentence"))).alias("p")).select("cluster", F.col("p.sentence").alias("key_points"))
+    summary = summaries(whole, summary_sentences).withColumnRenamed("doc_id", "cluster")
+    empty = F.array().cast("array<string>")
+    joined = size.join(merged.drop("text"), "cluster").join(terms, "cluster", "left").join(best, "cluster", "left").join(summary, "cluster", "left")
+    return joined.select("cluster", "title", "docs", F.coalesce("key_terms", empty).alias("key_terms"), topic(F.coalesce("key_terms", empty)).alias("topic"), F.coalesce("key_points", empty).alias("key_points"), F.coalesce("summary", F.lit("")).alias("summary"), "sources")
+
+
+def report(described: DataFrame) -> DataFrame:
+    """(cluster, text): the clusters as readable text."""
+    points = F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("• "), F.when(F.length(p) > 200, F.concat(F.substring(p, 1, 197), F.lit("..."))).otherwise(p))), "\n")
+    named = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("  - "), s.cast("string"))), "\n")
+    more = F.when(F.col("docs") > F.size("sources"), F.format_string("\n  ... and %d more", F.col("docs") - F.size("sources"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("=== "), "title", F.lit(" ===\n\nTOPIC: "), "topic", F.lit("\nDOCUMENTS: "), F.col("docs").cast("string"), F.lit("\n\nKEY POINTS:\n"), points, F.lit("\n\nSUMMARY:\n"), "summary", F.lit("\n\nKEY TERMS: "), F.array_join("key_terms", ", "), F.lit("\n\nSOURCES:\n"), named, more)
+    return described.select("cluster", text.alias("text"))

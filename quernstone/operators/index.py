@@ -139,6 +139,20 @@ class SearchIndex:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_info"))
 
 
+def open_or_build(spark: SparkSession, path: str, pages: DataFrame, rebuild: bool = False) -> SearchIndex:
+    """The index at ``path``; built from all pages and saved first if there is none, if it is empty, or if asked for."""
+    if not rebuild:
+        try:
+            found = SearchIndex.load(spark, path)
+            if not found.doc_info.isEmpty():
+                return found
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    SearchIndex.build_pages(pages).save(path)
+    return SearchIndex.load(spark, path)
+
+
 def latest(pages: DataFrame) -> DataFrame:
     """Of the rows of one id the one crawled last (a null time counts as earliest)."""
     at = F.coalesce(F.col("crawled_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))

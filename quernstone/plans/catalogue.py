@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import codec, fuzzy, text, urls
+from quernstone.functions.html import extracted
 from quernstone.operators import cluster, crawl, graph, rank, retrieve, search
 from quernstone.operators.index import SearchIndex, from_tables, latest, tokens
 from quernstone.plans.oracle import SQL
@@ -555,7 +556,19 @@ def kmeans_clusters(spark, d):
 @query
 def cluster_report(spark, d):
     docs = _documents(spark, d)
-    return cluster.describe(docs, docs.select("doc_id", F.pmod(F.col("doc_id"), F.lit(10)).alias("cluster"))).select("cluster", "docs", F.array_join("key_terms", ",").alias("key_terms"), "topic", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
+    return cluster.report(cluster.describe(docs, docs.select("doc_id", F.pmod(F.col("doc_id"), F.lit(10)).alias("cluster"))))
+
+
+@query
+def cluster_terms(spark, d):
+    docs = _documents(spark, d)
+    found = cluster.describe(docs, docs.select("doc_id", F.pmod(F.col("doc_id"), F.lit(10)).alias("cluster")))
+    return found.select("cluster", "docs", F.array_join("key_terms", ",").alias("key_terms"), "topic", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
+
+
+@query
+def html_markdown(spark, d):
+    return extracted(_html(spark, d)).select("url", "title", F.length("content_markdown").alias("chars"), F.size("links").alias("links"))
 
 
 @query

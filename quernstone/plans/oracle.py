@@ -248,6 +248,12 @@ c AS (SELECT *, greatest(0, 10 - i) + CASE WHEN length(sentence) > 50 AND length
 SELECT doc_id, sentence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS place FROM c QUALIFY place <= 5""",
     "topics": "WITH " + _KEY_TERMS + f""", f AS (SELECT doc_id, arg_min({_TOPIC.replace('(t,', '(term,')}, place) FILTER (WHERE place <= 5 AND {_TOPIC.replace('(t,', '(term,')} IS NOT NULL) AS topic, arg_min(term, place) AS first FROM kt GROUP BY doc_id)
 SELECT doc_id, coalesce(topic, upper(substr(first, 1, 1)) || substr(first, 2)) AS topic FROM f""",
+    "content_titles": """SELECT doc_id, coalesce(trim(regexp_replace(list_filter(list_transform(string_split(trim(text), chr(10))[1:10], lambda x: trim(x)), lambda x: starts_with(x, '# ') OR starts_with(x, '## '))[1], '^##? ', '')), 'Note ' || CAST(doc_id AS VARCHAR)) AS title FROM documents""",
+    "cluster_terms": f"""WITH kw AS (SELECT doc_id % 10 AS cluster, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: NOT list_contains({_STOP}, w) AND w NOT IN ({', '.join(f"'{w}'" for w in WEB_WORDS)}))) AS term FROM documents),
+kt AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY count DESC, term) AS place FROM (SELECT cluster, term, count(*) AS count FROM kw GROUP BY ALL) QUALIFY place <= 10),
+f AS (SELECT cluster, string_agg(term, ',' ORDER BY place) AS key_terms, arg_min({_TOPIC.replace('(t,', '(term,')}, place) FILTER (WHERE place <= 5 AND {_TOPIC.replace('(t,', '(term,')} IS NOT NULL) AS topic, arg_min(term, place) AS first FROM kt GROUP BY cluster),
+s AS (SELECT doc_id % 10 AS cluster, count(*) AS docs, array_to_string(list_sort(list(doc_id))[1:10], ',') AS sources FROM documents GROUP BY 1)
+SELECT cluster, docs, key_terms, coalesce(topic, upper(substr(first, 1, 1)) || substr(first, 2)) AS topic, sources FROM s JOIN f USING (cluster)""",
     "stream_new_urls": f"SELECT DISTINCT {_normal('url')} AS url FROM docs WHERE url IS NOT NULL",
 }
 

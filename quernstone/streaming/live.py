@@ -15,28 +15,47 @@ from quernstone.operators.index import SearchIndex
 from quernstone.sources.store import swap
 
 
-def upsert_pages(spark: SparkSession, path: str):
-    """A foreachBatch function that brings each batch of pages into the index at ``path``.
+class LiveIndex:
+    """An index that grows by batches: each batch is a folder of its own, and of a document the rows of its last batch count.
 
-    A batch is applied whole: the new index is written beside the old one and put in its place. Applying a batch again changes nothing.
-    """
+    Taking a batch in costs what the batch costs, not what the index does; ``compact`` folds the batches into one now and then."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def append(self, index: SearchIndex, batch: int) -> None:
+        """Write a batch. Writing one again replaces it, so that a repeated batch changes nothing. Postings go last but are read
+        only through the infos, so a reader between the two sees a document without terms at worst."""
+        index.optimize().postings.write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
+        index.doc_info.write.mode("overwrite").parquet(f"{self.path}/doc_info/batch={batch}")
+
+    def load(self) -> SearchIndex:
+        """The index as of the last batch. Infos are few against postings: those of the last batches are found first, and
+        postings are kept by a semi join on document and batch."""
+        info = self.spark.read.parquet(f"{self.path}/doc_info")
+        columns = [c for c in info.columns if c not in ("doc_id", "batch")]
+        last = info.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max_by(F.struct(*columns), "batch").alias("i"))
+        postings = self.spark.read.parquet(f"{self.path}/postings").join(last.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
+        return SearchIndex(postings.select("term", "doc_id", "positions", "tf"), last.select("doc_id", "i.*"))
+
+    def compact(self) -> None:
+        """All batches as one, written beside them and put in their place."""
+        newest = self.spark.read.parquet(f"{self.path}/doc_info").agg(F.max("batch")).first()[0]
+        LiveIndex(self.spark, self.path + ".new").append(self.load(), newest)
+        swap(self.spark, self.path + ".new", self.path)
+
+
+def upsert_pages(spark: SparkSession, path: str):
+    """A foreachBatch function that brings each batch of pages into the live index at ``path``."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        new = SearchIndex.build_pages(batch)
-        try:
-            whole = SearchIndex.load(spark, path).upsert(new)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            whole = new
-        whole.save(path + ".new")
-        swap(spark, path + ".new", path)
+        LiveIndex(spark, path).append(SearchIndex.build_pages(batch), batch_id)
 
     return apply
 
 
 def index_stream(pages: DataFrame, path: str, checkpoint: str, **trigger):
-    """Start the stream of pages into the index at ``path``."""
+    """Start the stream of pages into the live index at ``path``."""
     return pages.writeStream.foreachBatch(upsert_pages(pages.sparkSession, path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

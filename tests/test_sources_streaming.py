@@ -86,7 +86,7 @@ def test_index_stream(spark, tmp_path):
 
     def run():
         live.index_stream(spark.readStream.schema(PAGE).parquet(source), path, str(tmp_path / "ck")).awaitTermination()
-        return SearchIndex.load(spark, path)
+        return live.LiveIndex(spark, path).load()
 
     assert run().document_count() == 2
     spark.createDataFrame([page(1, "cherry", 2), page(3, "plum", 2)], PAGE).coalesce(1).write.mode("append").parquet(source)
@@ -94,7 +94,7 @@ def test_index_stream(spark, tmp_path):
     assert index.document_count() == 3 and not index.has_term("pie") and index.has_term("cherry")
     again = live.upsert_pages(spark, path)
     again(spark.createDataFrame([page(3, "plum", 2)], PAGE), 7)
-    assert SearchIndex.load(spark, path).document_count() == 3
+    assert live.LiveIndex(spark, path).load().document_count() == 3
 
 
 def test_stream_urls_and_blocks(spark, tmp_path):
