@@ -29,7 +29,8 @@ def tokens(docs: DataFrame, *texts: Column, config: TokenizerConfig = DEFAULT) -
 
 def postings_of(rows: DataFrame) -> DataFrame:
     """Postings of (doc_id, term, pos); a group is bounded by its document."""
-    return rows.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"))
+    grouped = rows.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("tf"))
+    return grouped.select("term", "doc_id", "positions", "tf")
 
 
 def content_of(markdown: Column, url: Column) -> Column:
@@ -44,8 +45,11 @@ class SearchIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, config: TokenizerConfig = DEFAULT, indexed_at: Column | None = None) -> SearchIndex:
-        """From (doc_id, url, title, content). Rows without doc_id are left out; one row per doc_id is expected (see ``latest``)."""
-        good = docs.where("doc_id is not null")
+        """From (doc_id, url, title, content). Rows without doc_id are left out; one row per doc_id is expected (see ``latest``).
+
+        Texts are partitioned by document before they are cut into terms: they are smaller than their terms with positions, and
+        grouping by document and term, and joins on documents, then need no further shuffle."""
+        good = docs.where("doc_id is not null").repartition("doc_id")
         title = term_array(F.col("title"), config)
         terms = good.select("doc_id", "url", "title", F.concat(title, term_array(F.col("content"), config)).alias("terms"))
         info = terms.select("doc_id", "url", "title", F.size("terms").alias("token_count"), F.size(F.array_distinct("terms")).alias("length"), (indexed_at if indexed_at is not None else F.lit(None).cast("timestamp")).alias("indexed_at"))

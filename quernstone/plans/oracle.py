@@ -140,7 +140,7 @@ _TOPIC = "CASE " + " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in TO
 
 _HALF = "SELECT doc_id, text || ' ' || text AS text FROM documents WHERE doc_id % 2 = 0"
 _TWO = "WITH " + _corpus() + ", " + _corpus(_HALF, "2")
-_COUNTS = "SELECT term, count(*) AS df, sum(tf) AS tf FROM ({}) GROUP BY term"
+_COUNTS = "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM ({}) GROUP BY term"
 
 _LEVENSHTEIN = "CASE WHEN {0} = {1} THEN 1.0 ELSE greatest(0.0, 1 - levenshtein({0}, {1}) / greatest(strlen({0}), strlen({1}))) END"
 _PAIRS = "pairs AS (SELECT DISTINCT w[1] AS a, w[2] AS b FROM (SELECT string_split(lower(p_name), ' ') AS w FROM part) WHERE len(w) > 1 AND w[1] <> '' AND w[2] <> '')"
@@ -156,15 +156,15 @@ SQL: dict[str, str] = {
     "postings_build": _D + " SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM post",
     "postings_pages": "WITH " + _LATEST + f""", toks AS (SELECT id AS doc_id, list_concat({terms_sql('title')}, {terms_sql("coalesce(nullif(" + _squeeze(_CONTENT) + ", ''), '') || ' ' || coalesce(url, '')")}) AS t FROM pages),
 tokens AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM toks)
-SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, sum(pos) AS pos_sum FROM tokens GROUP BY term""",
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, CAST(sum(pos) AS BIGINT) AS pos_sum FROM tokens GROUP BY term""",
     "doc_info_build": _D + " SELECT doc_id, token_count, length FROM info",
-    "index_stats": _D + " SELECT (SELECT n FROM n) AS documents, count(*) AS terms, sum(df) AS postings, round(sum(df) / count(*), 6) AS avg_postings FROM terms",
+    "index_stats": _D + " SELECT (SELECT n FROM n) AS documents, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, round(sum(df) / count(*), 6) AS avg_postings FROM terms",
     "top_terms_df": _D + " SELECT term, df FROM terms ORDER BY df DESC, term LIMIT 10",
     "index_validate": "WITH " + _STORED + """ SELECT 'orphan_posting' AS problem, doc_id, count(*) AS n FROM post WHERE doc_id NOT IN (SELECT doc_id FROM info) GROUP BY doc_id
 UNION ALL SELECT 'no_terms', doc_id, 0 FROM info WHERE doc_id NOT IN (SELECT doc_id FROM post)""",
     "index_delete": _D + " " + _COUNTS.format("SELECT * FROM post WHERE doc_id % 2 <> 0"),
     "index_upsert": _TWO + " " + _COUNTS.format("SELECT * FROM post WHERE doc_id % 2 <> 0 UNION ALL SELECT * FROM post2"),
-    "index_merge": _TWO + " SELECT term, count(DISTINCT doc_id) AS df, sum(tf) AS tf FROM (SELECT * FROM post UNION ALL SELECT * FROM post2) GROUP BY term",
+    "index_merge": _TWO + " SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT * FROM post UNION ALL SELECT * FROM post2) GROUP BY term",
     "search_and": _D + " " + _boolean(["driver", "packet"], [], []),
     "search_or": _D + " " + _boolean([], ["driver", "packet", "datei"], []),
     "search_not": _D + " " + _boolean(["driver"], [], ["packet"]),
@@ -213,7 +213,7 @@ SELECT row_number() OVER (ORDER BY o) - 1 AS place, term FROM s ORDER BY o LIMIT
     "levenshtein_pairs": "WITH " + _PAIRS + f" SELECT a, b, levenshtein(a, b) AS distance, round({_LEVENSHTEIN.format('a', 'b')}, 6) AS similarity FROM pairs",
     "pagerank_fixed": "WITH " + _pagerank(5) + " SELECT id, round(score, 9) AS score FROM r5",
     "pagerank_shares": "WITH " + _pagerank(3) + " SELECT id, round(score / (SELECT sum(score) FROM r3), 9) AS share, round(1 + 0.5 * score / (SELECT max(score) FROM r3), 6) AS boosted FROM r3",
-    "link_degrees": "SELECT id, sum(o) AS out_links, sum(i) AS in_links FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL UNION ALL SELECT dst, 0, 1 FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) GROUP BY id",
+    "link_degrees": "SELECT id, CAST(sum(o) AS BIGINT) AS out_links, CAST(sum(i) AS BIGINT) AS in_links FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL UNION ALL SELECT dst, 0, 1 FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) GROUP BY id",
     "links_resolved": "WITH " + _LATEST + f", l AS (SELECT id AS src, sha256({_normal('link')}) AS dst FROM (SELECT id, unnest(links) AS link FROM pages) WHERE link IS NOT NULL), k AS (SELECT DISTINCT sha256({_normal('url')}) AS dst FROM pages WHERE url IS NOT NULL) SELECT src, count(*) AS links, count(*) FILTER (WHERE dst IN (SELECT dst FROM k)) AS known FROM l GROUP BY src",
     "bfs_depth": "WITH " + _LATEST + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), l0 AS (SELECT DISTINCT id FROM pages WHERE depth = 0),
 l1 AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (SELECT id FROM l0) AND dst NOT IN (SELECT id FROM l0)),
@@ -239,7 +239,7 @@ CASE WHEN status = 429 THEN 'rate-limited' WHEN status = 403 THEN 'blocked' WHEN
     "crawl_counters": f"SELECT {_host('url')} AS host, count(*) FILTER (WHERE NOT coalesce(depth > 3, false)) AS crawled, count(*) FILTER (WHERE coalesce(depth > 3, false)) AS failed FROM docs WHERE url IS NOT NULL GROUP BY 1",
     "seed_sets": "SELECT * FROM (VALUES ('general', 10), ('programming', 18), ('academic', 17)) t(set_name, urls)",
     "gap_encode": _D + """, g AS (SELECT term, pos - coalesce(lag(pos) OVER (PARTITION BY term, doc_id ORDER BY pos), 0) AS g FROM tokens)
-SELECT term, count(*) AS n, sum(CASE WHEN g < 128 THEN 1 WHEN g < 16384 THEN 2 WHEN g < 2097152 THEN 3 ELSE 4 END) AS bytes, round(sum(CASE WHEN g < 128 THEN 1 WHEN g < 16384 THEN 2 WHEN g < 2097152 THEN 3 ELSE 4 END) / (count(*) * 4), 6) AS ratio, CAST(floor(count(*) * 3 / 2) AS INT) AS estimate FROM g GROUP BY term""",
+SELECT term, count(*) AS n, CAST(sum(CASE WHEN g < 128 THEN 1 WHEN g < 16384 THEN 2 WHEN g < 2097152 THEN 3 ELSE 4 END) AS BIGINT) AS bytes, round(sum(CASE WHEN g < 128 THEN 1 WHEN g < 16384 THEN 2 WHEN g < 2097152 THEN 3 ELSE 4 END) / (count(*) * 4), 6) AS ratio, CAST(floor(count(*) * 3 / 2) AS INT) AS estimate FROM g GROUP BY term""",
     "clean_documents": "WITH " + _LATEST + f""" SELECT id, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(string_split({_CLEAN_BASE}, chr(10)), lambda x: {_LINE_TRIM} = '' OR NOT {_CLEAN_BAD}), lambda x: CASE WHEN regexp_matches(x, '^[ \\t\\r\\f]*$') THEN '' ELSE x END), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS clean FROM pages""",
     "documents_long_enough": "SELECT doc_id FROM documents WHERE length(text) >= 900 AND len(string_split(trim(regexp_replace(text, '[ \\t\\n\\r*|-]+', ' ', 'g')), ' ')) >= 120",
     "key_terms": "WITH " + _KEY_TERMS + " SELECT doc_id, term, count, place FROM kt",
