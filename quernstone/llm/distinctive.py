@@ -23,11 +23,13 @@ def live_documents(doc_info: DataFrame) -> DataFrame:
 
 
 def occurrences(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, n): distinct positions over all rows of the pair. The group is bounded by the document's size. Null positions count nothing.
+    """(term, doc_id, n): distinct positions over all rows of the pair. Null positions count nothing.
 
-    Rows are partitioned by document once; grouping by pair and the later join with the documents need no other shuffle."""
-    rows = postings.repartition("doc_id").where("term is not null and doc_id is not null").select("term", "doc_id", F.filter(F.coalesce("positions", F.array().cast("array<int>")), lambda p: p.isNotNull()).alias("positions"))
-    pairs = rows.groupBy("term", "doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("n"))
+    Repeated rows fall together before the shuffle, which is on the pair, so neither a term nor a document of a third of all
+    rows makes a hot group; a group holds the distinct position lists of one term in one document. The document comes first in
+    the key: the aggregate sorts by it, and what is shuffled compresses well."""
+    rows = postings.where("term is not null and doc_id is not null and positions is not null").select("term", "doc_id", F.filter("positions", lambda p: p.isNotNull()).alias("positions"))
+    pairs = rows.groupBy("doc_id", "term").agg(F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("n"))
     return pairs.where("n > 0")
 
 
