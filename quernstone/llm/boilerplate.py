@@ -93,6 +93,9 @@ HELD_C = frozenset({"byline", "heading", "sentence", "code", "row", "figures", "
 _BODY = np.zeros(N_SYM, bool)
 _BODY[[_SYM[s] for s in ("byline", "heading", "sentence", "code", "row", "figures", "farlink")]] = True
 
+#: Parameter: a line of more characters is running text, whatever phrase it holds.
+CUE_CHARS = 220
+
 _FENCE = re.compile(r"^ *(```|~~~)")
 _RULE = re.compile(r"^[\s*_=-]*$")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -116,7 +119,7 @@ def _is_nav(word: str) -> bool:
 def line_symbol(line: str, site: str | None, title: str | None = None) -> int:
     """What a line with letters or digits, outside code, looks like. ``site``: host of the page, to tell its own links."""
     low = line.strip().lower()
-    if len(low) <= 220:
+    if len(low) <= CUE_CHARS:
         plain = _plain(line)
         if cue := cue_of(plain):
             return _SYM[cue]
@@ -152,10 +155,10 @@ def line_symbol(line: str, site: str | None, title: str | None = None) -> int:
             return _SYM["navpipe"]
     if _is_nav(_BULLET.sub("", low)):
         return _SYM["navword"]
-    n = len(_WORD.findall(low[:400]))
+    n = len(_WORD.findall(low))
     if n == 0:
         return _SYM["figures"]
-    if n >= 5 and (len(low) > 220 or low[-1] in ".!?:;…\"”»')" or title and low == title.strip().lower()):
+    if n >= 5 and (len(low) > CUE_CHARS or low[-1] in ".!?:;…\"”»')" or title and low == title.strip().lower()):
         return _SYM["sentence"]
     if _BULLET.match(line):
         return _SYM["bullet"]

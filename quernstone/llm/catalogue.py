@@ -46,6 +46,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_residue(spark, d).select("id")
 
 
+def p3_messages(spark: SparkSession, d: str) -> DataFrame:
+    return residue.recurring_messages(*_tree(spark, d))
+
+
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "docs")
     return markup.cleaned_pages(docs, markup.train(docs, read(spark, d, "page_labels")))
@@ -114,7 +118,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where((F.col("piece") == 0) & (F.col("doc_tokens") > split.LIMIT)).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_spam, p2_found, p2_terms, p3_found, p3_residue, p4_found, p4_clean, p5_found, p5_bodies, p6_found, p6_lines, p6_texts, p7_found, p7_quality, p8_pack, p9_found, p9_leaks, p10_found, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_spam, p2_found, p2_terms, p3_found, p3_residue, p3_messages, p4_found, p4_clean, p5_found, p5_bodies, p6_found, p6_lines, p6_texts, p7_found, p7_quality, p8_pack, p9_found, p9_leaks, p10_found, p10_pieces)}
 
 
 _P2 = """

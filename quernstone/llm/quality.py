@@ -69,7 +69,7 @@ def observe(line: str) -> tuple[int, dict[str, float]]:
     if noise >= 3 and noise * 22 >= size and n >= 3 and "](" not in line and "://" not in line and not line.lstrip().startswith("|"):
         return _OB["broken"], figures
     inner = len(_INNER.findall(text)) if marks * 25 >= size else 0
-    if inner * 7 >= len(tokens) + 4 and "](" not in line and "://" not in line and not line.lstrip().startswith("|") and ";" not in text[: 40]:
+    if inner * 7 >= len(tokens) + 4 and "](" not in line and "://" not in line and not line.lstrip().startswith("|") and text.count(";") < 2:
         return _OB["broken"], figures
     fields = text.strip("|").count("|") + text.count("\t") + text.count(";")
     if line.lstrip().startswith("|") or (numbers >= 2 and numbers * 2 >= len(tokens)) or ("\t" in text and fields >= 1) or (digits * 3 >= size and fields >= 2):

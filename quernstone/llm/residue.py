@@ -108,15 +108,14 @@ class Judge:
         self.met: dict[str, int] = {}
 
     def rule(self, masked: str) -> int:
-        if len(masked) > 400:
-            return 0
         found = self.met.get(masked)
         if found is None:
             plain = masked.strip("*_#>-• ")
             found = 2 if _STRONG.search(plain) or _MESSAGE.search(plain) else 1 if _WEAK.search(plain) else 0
-            if len(self.met) > self.LIMIT:
-                self.met.clear()
-            self.met[masked] = found
+            if len(masked) <= 400:
+                if len(self.met) > self.LIMIT:
+                    self.met.clear()
+                self.met[masked] = found
         return found
 
     def segments(self, body: list[tuple[int, str, str]], name: str) -> tuple[int, list[tuple[int, int, int]]]:
@@ -196,3 +195,36 @@ def residue_candidates(docs: DataFrame, model: TreeModel) -> DataFrame:
         return work
 
     return map_rows(pages, make, CANDIDATES)
+
+
+def recurring_messages(docs: DataFrame, model: TreeModel, sources: int = SOURCES) -> DataFrame:
+    """(message, pages, sources, rule) of all masked segments of main bodies, whatever their rule, that stand on at least so many
+    sources: the classified messages of the whole crawl. Segments of one page count once; pages without a host share one source."""
+    pages = current_pages(docs, "url", "title", "content_markdown").select("id", host(F.col("url")).alias("site"), "title", "content_markdown")
+
+    def make():
+        find, judge = BodyFinder(model), Judge()
+
+        def work(b):
+            out = {"site": [], "message": [], "rule": []}
+            for site, found in zip(b["site"], find(b["content_markdown"], b["site"], b["title"])[0]):
+                name, seen = site_name(site), set()
+                for _, sym, line in body_lines(*found):
+                    if sym in ("code", "heading"):
+                        continue
+                    for part in _SENTENCE.split(_INLINE.sub(" ", line.strip())):
+                        masked = mask(part, name)
+                        if masked not in seen and _WORD.search(masked):
+                            seen.add(masked)
+                            out["site"].append(site or "")
+                            out["message"].append(masked)
+                            out["rule"].append(2 if placeholders(part) else judge.rule(masked))
+            return out
+
+        return work
+
+    rows = map_rows(pages, make, "site string, message string, rule int")
+    # by (hash, source) first: a message of a third of all pages is then one row a source
+    per = rows.groupBy(F.xxhash64("message").alias("hash"), "message", "site").agg(F.count("*").alias("pages"), F.max("rule").alias("rule"))
+    whole = per.groupBy("hash", "message").agg(F.sum("pages").alias("pages"), F.count("*").alias("sources"), F.max("rule").alias("rule"))
+    return whole.where(F.col("sources") >= sources).select("message", "pages", "sources", "rule")

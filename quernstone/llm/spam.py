@@ -25,8 +25,8 @@ _SEPS = (("|", " | "), (",", ", "), (">", ">>"), ("*", "★"), ("%", "100%"), ("
 
 #: Parameters: share of the body's characters that spam shapes must hold, in so many shapes at most.
 SHARE, SHAPES = 0.5, 8
-#: A word is a key word of a page if it comes so often and makes up this share of the words.
-KEY_COUNT, KEY_SHARE = 5, 0.04
+#: A word is a key word of a page if it comes so often, makes up this share of the words, and is among so many most frequent ones.
+KEY_COUNT, KEY_SHARE, KEYS = 5, 0.04, 12
 #: A body with fewer words and links than this is not judged.
 LEAST = 5
 
@@ -59,7 +59,7 @@ def shapes_of(body: list[tuple[int, str, str]]) -> tuple[dict[Shape, int], int,
         total += len(low)
         count.update(low)
         parsed.append((line, text, links, tags, words, low))
-    keys = {w for w, n in count.most_common(12) if n >= KEY_COUNT and n >= KEY_SHARE * total and len(w) >= 3 and w not in COMMON and w[:4] not in FILLER_STEMS}
+    keys = {w for w, n in count.most_common(KEYS) if n >= KEY_COUNT and n >= KEY_SHARE * total and len(w) >= 3 and w not in COMMON and w[:4] not in FILLER_STEMS}
     strongest = max((count[w] for w in keys), default=0)
     held: dict[Shape, int] = defaultdict(int)
     for line, text, links, tags, words, low in parsed:

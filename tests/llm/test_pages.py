@@ -203,6 +203,13 @@ def test_residue(spark):
     assert judged(spark, []) == {}
 
 
+def test_messages(spark):
+    rows = [(f"w{i}", f"https://kazop{i}.test/", "t", f"{PROSE}\nThe page was not found on Kazop{i}, code {i}.\nIt was not found.\nIt was not found.") for i in range(4)] + [*EDGE[1:5]]
+    got = {r.message: r for r in residue.recurring_messages(docs(spark, rows, extra=True), START).collect()}
+    assert got["the page was not found on ~, code 0."].sources == 4 and got["it was not found."].pages == 4 and got["it was not found."].rule == 1
+    assert residue.recurring_messages(docs(spark, []), START).collect() == []
+
+
 def test_mask():
     assert residue.mask(" Sitename  v1.2 at https://x.y/z?q, Mail a@b.co 2024-01-02", "sitename") == "~ v0 at @ mail @ 0"
     assert residue.site_name("docs.kazop.test") == "kazop" and residue.site_name(None) == ""
