@@ -48,6 +48,11 @@ def id_hash(doc_id: str) -> int:
     return abs(value - (1 << 64) if value >> 63 else value)
 
 
+def encode_ids(ids: list[str] | None) -> bytes:
+    """Hashes of ids as variable-length integers. Ids cannot be had back from them; ``decode_ints`` gives the hashes."""
+    return encode_ints([id_hash(i) for i in ids or ()])
+
+
 def encode_postings(postings: list[tuple[str, int, list[int]]] | None) -> bytes:
     """(doc_id, tf, positions): counts and id lengths in 16 bits (they wrap), positions in 32, all big-endian."""
     if not postings:

@@ -12,7 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTok
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import STOPWORDS, title_from_content
+from quernstone.functions.text import STOPWORDS, clean_markdown, long_enough, title_from_content
 from quernstone.session import ship_package
 
 # Words of the web that say nothing of a text.
@@ -43,6 +43,12 @@ def clusters(docs: DataFrame, k: int = 100, features: int = 5000, seed: int = 42
     return Pipeline(stages=stages).fit(rows).transform(rows).select("doc_id", "cluster")
 
 
+def prepared(files: DataFrame) -> DataFrame:
+    """(doc_id, title, text) of Markdown files (file, text) fit for clustering: cleaned, and long enough after that."""
+    clean = files.select("file", clean_markdown(F.col("text")).alias("text")).where(long_enough(F.col("text")))
+    return clean.select(F.col("file").alias("doc_id"), title_from_content(F.col("text"), F.col("file")).alias("title"), "text")
+
+
 def key_terms(docs: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
     """(key, term, count, place): most frequent words of three letters or more besides stop and web words; ties by word."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col("text")), F.lit("([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin([*STOPWORDS, *WEB_WORDS]))

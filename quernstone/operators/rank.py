@@ -69,6 +69,21 @@ def document_vectors(index: SearchIndex) -> DataFrame:
     return index.postings.join(index.terms, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * idf(F.col("df"), F.col("n"))).alias("weight"))
 
 
+def query_vector(index: SearchIndex, terms: list[str]) -> DataFrame:
+    """(term, weight): times a term comes in the query, times idf; terms the index does not know are left out."""
+    return _query_terms(index, terms).select("term", (F.col("idf") * F.col("times")).alias("weight")).distinct()
+
+
+def cosine_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, other, cosine) of sparse vectors a (doc_id, term, weight) and b (doc_id, term, weight) that share a term, for a
+    stated set of vectors b against all of a; zero vectors give 0."""
+    norm = lambda v, name: v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(name))
+    left, right = a.select("doc_id", "term", F.col("weight").alias("wa")), b.select(F.col("doc_id").alias("other"), "term", F.col("weight").alias("wb"))
+    dots = left.join(right, "term").groupBy("doc_id", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    both = dots.join(norm(a, "na"), "doc_id").join(norm(b, "nb").withColumnRenamed("doc_id", "other"), "other")
+    return both.select("doc_id", "other", F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.col("na") * F.col("nb"))).otherwise(F.lit(0.0)).alias("cosine"))
+
+
 def cosine_to_query(index: SearchIndex, terms: list[str]) -> DataFrame:
     """(doc_id, cosine) of the documents that share a term with the query; a zero vector gives 0."""
     vectors = document_vectors(index)

@@ -13,8 +13,9 @@ from quernstone.operators import cluster, crawl, graph, rank, retrieve, search
 from quernstone.operators.index import SearchIndex, from_tables, latest, tokens
 from quernstone.plans.oracle import SQL
 from quernstone.plans.query import SearchConfig, parse
-from quernstone.session import spread
+from quernstone.session import shared_folder, spread
 from quernstone.sources import seeds
+from quernstone.sources.store import hadoop_path
 from quernstone.streaming import live
 
 __all__ = ["QUERIES", "SQL", "flagship"]
@@ -581,27 +582,13 @@ def lexrank_summaries(spark, d):
 
 @query
 def stream_new_urls(spark, d):
-    """New urls of the docs table read as a stream of files, run to its end into a table of the session."""
-    import tempfile
-
-    schema = _read(spark, d, "docs").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(d))
-    name = "new_urls_" + str(abs(hash((d, id(rows)))))
-    live.new_urls(rows.select("url")).writeStream.format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
-def _stream_folder(d: str) -> str:
-    """A folder for the stream source: the table itself if it is one, else links to its file."""
-    import os
-    import tempfile
-
-    path = f"{d}/docs.parquet"
-    if os.path.isdir(path):
-        return path
-    folder = tempfile.mkdtemp()
-    os.symlink(path, f"{folder}/docs.parquet")
-    return folder
+    """New urls of the docs table read as a stream of files, run to its end into a table of files."""
+    source = spark.readStream.schema(_read(spark, d, "docs").schema)
+    path, fs = hadoop_path(spark, f"{d}/docs.parquet")
+    folder = source.parquet(f"{d}/docs.parquet") if fs.getFileStatus(path).isDirectory() else source.option("pathGlobFilter", "docs.parquet").parquet(d)
+    out = shared_folder(spark)
+    live.new_urls(folder.select("url")).writeStream.format("parquet").option("path", f"{out}/urls").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/urls")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

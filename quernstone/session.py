@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder all executors share: below spark.checkpoint.dir, or a local one only where that is not set (a local session, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base.rstrip('/')}/{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="shared-")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` checkpointed into spark.checkpoint.dir, the folder all executors share, so that it is computed once, its
     lineage is cut and the loss of executors does no harm. Only where no folder is set (a local session, as in tests) one is made."""

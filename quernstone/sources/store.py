@@ -74,14 +74,15 @@ class PageStore:
         self._write(self.read(), path, "overwrite")
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def swap(spark: SparkSession, new: str, old: str) -> None:
     """Put ``new`` in the place of ``old``."""
-    (a, fs), (b, _) = _fs(spark, new), _fs(spark, old)
+    (a, fs), (b, _) = hadoop_path(spark, new), hadoop_path(spark, old)
     fs.delete(b, True)
     if not fs.rename(a, b):
         raise StoreError(f"{new} could not be moved to {old}", "Check the permissions of the folder")
@@ -89,7 +90,7 @@ def swap(spark: SparkSession, new: str, old: str) -> None:
 
 def copy(spark: SparkSession, path: str, to: str) -> None:
     """Copy of a folder of tables, for backup and restore."""
-    (a, fs), (b, other) = _fs(spark, path), _fs(spark, to)
+    (a, fs), (b, other) = hadoop_path(spark, path), hadoop_path(spark, to)
     if not fs.exists(a):
         raise StoreError(f"{path} is missing", "Build the index first")
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, False, True, spark._jsc.hadoopConfiguration())
@@ -97,7 +98,7 @@ def copy(spark: SparkSession, path: str, to: str) -> None:
 
 def restore(spark: SparkSession, backup: str, path: str, keep_current: bool = True) -> None:
     """Put a backup in place; the current index is first copied beside it."""
-    target, fs = _fs(spark, path)
+    target, fs = hadoop_path(spark, path)
     if fs.exists(target):
         if keep_current:
             copy(spark, path, path + ".before-restore")
