@@ -44,10 +44,11 @@ DEFAULT = TokenizerConfig()
 def term_array(text: Column, config: TokenizerConfig = DEFAULT) -> Column:
     """Terms of a text in order. A term is a run of ASCII letters, digits, apostrophes and hyphens, lower-cased, that
     has a letter, is long enough and no stop word; any other character separates. Null gives an empty array."""
-    runs = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9'-]+)"), F.lit(1)), F.lower)
+    # the pattern takes whole runs, and only those with a letter
+    runs = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9'-]*[A-Za-z][A-Za-z0-9'-]*)"), F.lit(1)), lambda x: F.lower(x))
 
     def keep(x: Column) -> Column:
-        good = (F.length(x) >= config.min_length) & x.rlike("[a-z]")
+        good = F.length(x) >= config.min_length
         return good & ~x.isin(sorted(config.stopwords)) if config.stopwords else good
 
     return F.filter(runs, keep)

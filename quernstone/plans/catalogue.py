@@ -39,7 +39,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> SearchIndex:
     """Index of the documents, which have no titles."""
-    return SearchIndex.build(_documents(spark, d).select("doc_id", "url", F.lit(None).cast("string").alias("title"), F.col("text").alias("content")))
+    return SearchIndex.build(_read(spark, d, "documents").select("doc_id", "url", F.lit(None).cast("string").alias("title"), F.col("text").alias("content")))
 
 
 def _stored(spark: SparkSession, d: str) -> SearchIndex:
@@ -101,7 +101,7 @@ def index_validate(spark, d):
 
 def _parity(spark, d):
     """The documents in two halves by id, with the even ones also in the second, their texts doubled."""
-    rows = _documents(spark, d).select("doc_id", "url", F.lit(None).cast("string").alias("title"), F.col("text").alias("content"))
+    rows = _read(spark, d, "documents").select("doc_id", "url", F.lit(None).cast("string").alias("title"), F.col("text").alias("content"))
     even = rows.where("doc_id % 2 = 0")
     return SearchIndex.build(rows), SearchIndex.build(even.withColumn("content", F.concat("content", F.lit(" "), "content"))), even
 
