@@ -35,12 +35,16 @@ _NUMBER = re.compile(r"^[-+(]?[$€£]?\d[\d.,:%/-]*\)?$")
 _INNER = re.compile(r"\w[^\w\s'’.,/@&:;+)(\-\]\[]+\w")
 _SPLIT_BY_DIGIT = re.compile(r"[^\W\d_][01](?=[^\W\d_])")
 _NOISE = "~^|#*_"
+# Markup is no sign of broken text.
+_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--|-->|&#?\w+;|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\'\'\'?|\{\{|\}\}|\\[A-Za-z]+|\$[^$\n]*[\\^_][^$\n]*\$|\\[()]")
 _MIXED = re.compile(r"^(?=\w*\d)(?=\w*[^\W\d_])\w+$")
 
 
 def observe(line: str) -> tuple[int, dict[str, float]]:
     """Class of a line and the figures it comes from."""
     text = _LINK.sub(r"\1", _BULLET.sub("", line)).strip() if "[" in line or line[:1] in " -*+•0123456789" else line.strip()
+    if "<" in text or "\\" in text or "[[" in text or "''" in text or "&" in text or "$" in text or "{{" in text:
+        text = _MARKUP.sub(" ", text).strip()
     size = max(len(text), 1)
     words = _WORD.findall(text)
     letters = sum(map(len, words))
@@ -60,7 +64,7 @@ def observe(line: str) -> tuple[int, dict[str, float]]:
         return _OB["broken"], figures
     if marks * 3 > size and not line.lstrip().startswith("|"):
         return _OB["symbols"], figures
-    longest = max(map(len, tokens))
+    longest = max(map(len, tokens), default=0)
     if longest >= 40 and digits * 40 >= size and spaces * 20 < size and "://" not in text:
         return _OB["encoded"], figures
     if digits and len(tokens) >= 3 and sum(bool(_MIXED.match(t)) for t in tokens) * 5 >= 2 * len(tokens):
