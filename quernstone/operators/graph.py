@@ -63,8 +63,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
 
 def normalized(ranks: DataFrame) -> DataFrame:
     """Scores as shares of their sum."""
-    total = ranks.agg(F.sum("score").alias("total"))  # one row
-    return ranks.crossJoin(F.broadcast(total)).select("id", F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(F.col("score")).alias("score"))
+    total = ranks.agg(F.sum("score")).scalar()
+    return ranks.select("id", F.when(total > 0, F.col("score") / total).otherwise(F.col("score")).alias("score"))
 
 
 def scaled(ranks: DataFrame, factor: float) -> DataFrame:
@@ -77,9 +77,9 @@ def top(ranks: DataFrame, n: int) -> DataFrame:
 
 def boosted(scores: DataFrame, ranks: DataFrame, factor: float) -> DataFrame:
     """(id, score): base score times 1 + factor * rank / highest rank; unchanged if the highest is 0."""
-    best = ranks.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))  # one row
-    rows = scores.join(ranks.select("id", F.col("score").alias("pr")), "id", "left").crossJoin(F.broadcast(best))
-    lift = F.when(F.col("best") > 0, 1 + factor * F.coalesce("pr", F.lit(0.0)) / F.col("best")).otherwise(F.lit(1.0))
+    best = ranks.agg(F.coalesce(F.max("score"), F.lit(0.0))).scalar()
+    rows = scores.join(ranks.select("id", F.col("score").alias("pr")), "id", "left")
+    lift = F.when(best > 0, 1 + factor * F.coalesce("pr", F.lit(0.0)) / best).otherwise(F.lit(1.0))
     return rows.select("id", (F.col("score") * lift).alias("score"))
 
 

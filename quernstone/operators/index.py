@@ -93,9 +93,9 @@ class SearchIndex:
     def stats(self) -> DataFrame:
         """One row: documents, terms, postings, average postings per term (0 without terms)."""
         sums = self.terms.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
-        docs = self.doc_info.agg(F.count("*").alias("documents"))
         average = F.when(F.col("terms") > 0, F.col("postings") / F.col("terms")).otherwise(F.lit(0.0))
-        return docs.crossJoin(sums).select("documents", "terms", "postings", average.alias("avg_postings"))  # one row each
+        documents = self.doc_info.agg(F.count("*")).scalar()
+        return sums.select(documents.alias("documents"), "terms", "postings", average.alias("avg_postings"))
 
     def top_terms(self, n: int = 10) -> DataFrame:
         return self.terms.orderBy(F.desc("df"), "term").limit(n)

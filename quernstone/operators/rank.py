@@ -38,10 +38,9 @@ def _query_terms(index: SearchIndex, terms: list[str]) -> DataFrame:
     times = Counter(terms)
     rows = index.postings.where(F.col("term").isin(sorted(times)))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    n = index.doc_info.agg(F.count("*").alias("n"))
+    n = index.doc_info.agg(F.count("*")).scalar()
     count = F.element_at(F.create_map(*[x for t, k in times.items() for x in (F.lit(t), F.lit(k))]), F.col("term"))
-    # df: at most one row a query term; n: one row
-    known = df.crossJoin(n).select("term", idf(F.col("df"), F.col("n")).alias("idf"))
+    known = df.select("term", idf(F.col("df"), n).alias("idf"))  # at most one row a query term
     return rows.join(F.broadcast(known), "term").select("term", "doc_id", "tf", "idf", count.alias("times"))
 
 
@@ -57,16 +56,16 @@ def bm25_scores(index: SearchIndex, terms: list[str], k1: float = 1.2, b: float
     if not terms:
         return index.doc_info.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     mean = index.doc_info.agg((F.sum("token_count") / F.count("*")).alias("mean"))
-    mean = mean.select(F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0)).alias("mean"))  # one row
-    rows = _query_terms(index, terms).join(index.doc_info.select("doc_id", F.coalesce("token_count", F.lit(0)).alias("size")), "doc_id").crossJoin(F.broadcast(mean))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    mean = mean.select(F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0)).alias("mean")).scalar()
+    rows = _query_terms(index, terms).join(index.doc_info.select("doc_id", F.coalesce("token_count", F.lit(0)).alias("size")), "doc_id")
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
     return rows.groupBy("doc_id").agg(F.sum(F.col("idf") * tf * F.col("times")).alias("score"))
 
 
 def document_vectors(index: SearchIndex) -> DataFrame:
     """(doc_id, term, weight): tf * idf of every document."""
-    n = index.doc_info.agg(F.count("*").alias("n"))
-    return index.postings.join(index.terms, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * idf(F.col("df"), F.col("n"))).alias("weight"))
+    n = index.doc_info.agg(F.count("*")).scalar()
+    return index.postings.join(index.terms, "term").select("doc_id", "term", (F.col("tf") * idf(F.col("df"), n)).alias("weight"))
 
 
 def query_vector(index: SearchIndex, terms: list[str]) -> DataFrame:
@@ -90,9 +89,9 @@ def cosine_to_query(index: SearchIndex, terms: list[str]) -> DataFrame:
     norms = vectors.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     rows = _query_terms(index, terms).withColumn("q", F.col("idf") * F.col("times"))
     dots = rows.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
-    length = rows.select("term", "q").distinct().agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))  # one row
-    value = F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), F.col("dot") / (F.col("norm") * F.col("qnorm"))).otherwise(F.lit(0.0))
-    return dots.join(norms, "doc_id").crossJoin(F.broadcast(length)).select("doc_id", value.alias("cosine"))
+    length = rows.select("term", "q").distinct().agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).scalar()
+    value = F.when((F.col("norm") > 0) & (length > 0), F.col("dot") / (F.col("norm") * length)).otherwise(F.lit(0.0))
+    return dots.join(norms, "doc_id").select("doc_id", value.alias("cosine"))
 
 
 def squash(score: Column) -> Column:
