@@ -43,12 +43,10 @@ def distinctive_terms(postings: DataFrame, doc_info: DataFrame) -> DataFrame:
     pairs = occurrences(postings).join(live, "doc_id")
     # counts of (term, document) pairs are pre-aggregated before the shuffle on term
     terms = pairs.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("in_all"))
-    # one row each: joined as scalars
-    whole = terms.agg(F.sum("in_all").alias("of_all"))
-    size = live.agg(F.count("*").alias("docs"))
-    joined = pairs.join(terms, "term").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(size))
+    of_all, size = terms.agg(F.sum("in_all")).scalar(), live.agg(F.count("*")).scalar()
+    joined = pairs.join(terms, "term").withColumn("of_all", of_all)
     tf = F.when(F.col("token_count") > 0, F.col("n") / F.col("token_count"))
-    idf = F.log((F.col("docs") + 1) / (F.col("documents") + 1)) + 1
+    idf = F.log((size + 1) / (F.col("documents") + 1)) + 1
     return joined.select("doc_id", "term", "n", "token_count", "documents", "in_all", "of_all", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("score"), (tf * F.col("of_all") / F.col("in_all")).alias("lift"))
 
 
