@@ -29,7 +29,7 @@ N_OB = len(OBSERVED)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-_LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)")
+_LINK = re.compile(r"\[([^\[\]\n]{0,400})\]\([^)\s]*\)")
 _MOJIBAKE = re.compile(r"Ã[\x80-\xbf©¨¼¶¤Ÿ±³¡­]|Â[\x80-\xbf]|â€|ï¿½|�")
 _NUMBER = re.compile(r"^[-+(]?[$€£]?\d[\d.,:%/-]*\)?$")
 _INNER = re.compile(r"\w[^\w\s'’.,/@&:;+)(\-\]\[]+\w")

@@ -11,6 +11,7 @@ before the shuffle, so a chunk on a third of all pages is no hot group.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -23,7 +24,7 @@ from quernstone.llm.common import current_pages, host, map_rows
 IDS, WORDS, WINDOW, BITS = 5, 4, 16, 6
 
 _DIGITS = re.compile(r"\d+")
-_FOUR = re.compile(r"(?:[^\W\d_]+[\W\d_]+){3}[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _FENCE = re.compile(r"^ *(```|~~~)")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -35,6 +36,10 @@ def normal(line: str) -> str:
     return _DIGITS.sub("0", " ".join(line.split()).lower())
 
 
+def _has_words(line: str, n: int = WORDS) -> bool:
+    return next(islice(_WORD.finditer(line), n - 1, None), None) is not None
+
+
 def lines_of(text: str | None) -> list[tuple[int, str]]:
     """(line_no, normalised line) of the lines that can be cases: outside code, not starting with #, of at least four words."""
     out, fence = [], ""
@@ -44,7 +49,7 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
             fence = "" if m and m.group(1) == fence else fence
         elif m:
             fence = m.group(1)
-        elif line[:1] != "#" and _FOUR.search(line):
+        elif line[:1] != "#" and _has_words(line):
             own = normal(line)
             if own[:1] != "#":
                 out.append((number, own))

@@ -18,7 +18,7 @@ from quernstone.llm.boilerplate import BodyFinder, TreeModel, body_lines
 from quernstone.llm.common import COMMON, FILLER_STEMS, current_pages, host, map_rows
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LINK = re.compile(r"!?\[([^\]]*)\]\((https?://[^)\s]*)[^)]*\)|<?(https?://[^\s>)]+)>?")
+_LINK = re.compile(r"!?\[([^\[\]\n]{0,400})\]\((https?://[^)\s]*)[^)\n]{0,400}\)|<?(https?://[^\s>)]+)>?")
 _LINK_HOST = re.compile(r"https?://(?:www\.)?([^/?#:\s]+)")
 _TAG = re.compile(r"(?<![^\s,;|])#[^\W_]\w*")
 _SEPS = (("|", " | "), (",", ", "), (">", ">>"), ("*", "★"), ("%", "100%"), ("/", " / "))

@@ -407,3 +407,19 @@ def test_agreement_with_labels_held_out(spark):
         said = "spam" if spam.spam_kind(body)[0] else "error" if error else "other" if 1 - q["prose"] >= quality.NOT_PROSE else "prose"
         right += said == ("other" if r.kind in ("list", "table", "junk") else r.kind)
     assert right / len(test) > 0.9
+
+
+@pytest.mark.parametrize("text", ["[" * 60_000, "[[a|" * 20_000, "x" * 100_000, "<a " * 30_000, "`a" * 30_000, "''a" * 30_000, "a " * 40_000, "$x" * 30_000, "](http://" * 10_000, "#a " * 30_000])
+def test_hostile_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    body = boilerplate.body_lines(*boilerplate.BodyFinder(START)([text], ["a.b"], ["t"])[0][0])
+    spam.spam_kind(body)
+    residue.candidate(residue.Judge(), "i", "a.b", text, body)
+    quality.Prose(HMM)([body])
+    parts = markup.pieces(text)
+    markup.clean(parts, ["html", "wiki", "latex"])
+    markup.kinds_of(parts)
+    repeats.chunk_hashes([x.encode() for _, x in repeats.lines_of(text)])
+    assert time.process_time() - began < 8
