@@ -212,13 +212,17 @@ def recurring_messages(docs: DataFrame, model: TreeModel, sources: int = SOURCES
                 for _, sym, line in body_lines(*found):
                     if sym in ("code", "heading"):
                         continue
-                    for part in _SENTENCE.split(_INLINE.sub(" ", line.strip())):
-                        masked = mask(part, name)
-                        if masked not in seen and _WORD.search(masked):
+                    text = line.strip()
+                    if "`" in text:
+                        text = _INLINE.sub(" ", text)
+                    for part in _SENTENCE.split(text):
+                        words = _WORD.findall(part.lower())
+                        masked = mask(part, name) if words else ""
+                        if masked and masked not in seen:
                             seen.add(masked)
                             out["site"].append(site or "")
                             out["message"].append(masked)
-                            out["rule"].append(2 if placeholders(part) else judge.rule(masked))
+                            out["rule"].append(2 if placeholders(part) else 0 if _HINTS.isdisjoint(words) else judge.rule(masked))
             return out
 
         return work
