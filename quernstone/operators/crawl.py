@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.urls import host, normalize_url, part
+from quernstone.session import ship_package
 
 #: Backoffs in seconds: each further block while one lasts doubles the time, up to the most.
 BLOCK, BLOCK_MOST = 300, 7200
@@ -58,44 +60,77 @@ def block_class(status: Column, server: Column, captcha: Column) -> Column:
     return F.when(status == 429, "rate-limited").when(status == 403, "blocked").when(status == 503, "rate-limited").when(F.coalesce(captcha, F.lit(False)) | F.contains(F.lower(F.coalesce(server, F.lit(""))), F.lit("cloudflare")), "blocked")
 
 
-def backoffs(events: DataFrame, base: int = BLOCK, most: int = BLOCK_MOST) -> DataFrame:
+def backoffs(events: DataFrame, base: int = BLOCK, most: int = BLOCK_MOST, unit: str = "day") -> DataFrame:
     """(domain, ts, event_id, backoff) of block events (domain, ts, event_id): the backoff in seconds each one sets.
 
     An event while the last backoff still runs doubles it up to the most; a later one starts anew. A step depends on the
-    one before only through one of few levels, so an event is a map of levels, and maps compose: a domain's days are
-    folded side by side, days are chained through their maps, and only then events get their levels. So the largest group is a
-    day of a domain. Equal times are ordered by event_id.
+    one before only through one of few levels, so an event is a map of levels, and maps compose: the units of time of a domain
+    are folded side by side, chained through their maps (one row a unit), and only then events get their levels. Events
+    stream through sorted partitions and are never gathered, so a hot domain takes a shorter ``unit``, not more memory.
+    Equal times are ordered by event_id; rows without domain or time are left out.
     """
     levels = [base]
     while levels[-1] < most:
         levels.append(min(levels[-1] * 2, most))
-    size = F.array(*[F.lit(x) for x in levels])
-    top = len(levels) - 1
-
-    def after(level: Column, gap: Column) -> Column:
-        """Level (0: none yet, else 1..) after an event that comes ``gap`` seconds behind the last."""
-        runs = (level > 0) & gap.isNotNull() & (gap < F.element_at(size, F.greatest(level, F.lit(1))))
-        return F.when(runs, F.least(level + 1, F.lit(top + 1))).otherwise(F.lit(1))
-
-    rows = events.where("domain is not null and ts is not null").select("domain", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.to_date("ts").alias("day"))
-    days = rows.groupBy("domain", "day").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "ts"))).alias("own"), F.max("us").alias("last"))
-    order = Window.partitionBy("domain").orderBy("day")
-    days = days.withColumn("before", F.lag("last").over(order))
-    gaps = F.transform("own", lambda e, i: F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), ((e["us"] - F.when(i == 0, F.col("before")).otherwise(F.get(F.col("own"), i - 1)["us"])) / 1e6).alias("gap")))
-    days = days.select("domain", "day", gaps.alias("own"))
-    # the day's map: level after the day for each level before it
-    day_map = F.transform(F.sequence(F.lit(0), F.lit(top + 1)), lambda start: F.aggregate(F.col("own"), start, lambda level, e: after(level, e["gap"])))
-    maps = days.select("domain", "day", day_map.alias("map"))
-    so_far = F.collect_list("map").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.aggregate(so_far, F.lit(0), lambda level, m: F.element_at(m, level + 1))
-    starts = maps.select("domain", "day", start.alias("start"))
+    count = len(levels)
+    micros = [x * 1_000_000 for x in levels]
+    rows = events.where("domain is not null and ts is not null").select("domain", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.date_trunc(unit, "ts").alias("part"))
+    ends = rows.groupBy("domain", "part").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    gap = F.col("first") - F.lag("last").over(Window.partitionBy("domain").orderBy("part"))
+    ends = ends.select("domain", "part", gap.alias("gap"))
+    ship_package(events.sparkSession)
+    sorted_rows = rows.repartition("domain", "part").sortWithinPartitions("domain", "part", "us", "event_id")
+
+    def fold(batches):
+        """Per (domain, part) the level after its last event for each level after its first."""
+        key, now, last = None, [], 0
+        for batch in batches:
+            out = []
+            for own, us in zip(zip(batch.column("domain").to_pylist(), batch.column("part").to_pylist()), batch.column("us").to_pylist()):
+                if own != key:
+                    if key is not None:
+                        out.append((key, now))
+                    key, now = own, list(range(count))
+                else:
+                    now = [min(x + 1, count - 1) if us - last < micros[x] else 0 for x in now]
+                last = us
+            yield _maps(out)
+        if key is not None:
+            yield _maps([(key, now)])
+
+    def _maps(found):
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.string()), pa.array([k[1] for k, _ in found], pa.timestamp("us", "UTC")), pa.array([m for _, m in found], pa.list_(pa.int32()))], names=["domain", "part", "map"])
+
+    maps = sorted_rows.select(F.col("domain").cast("string").alias("domain"), "part", "us").mapInArrow(fold, "domain string, part timestamp, map array<int>")
+    # chained per domain over its units: -1 is the level before the first event
+    size = F.array(*[F.lit(m) for m in micros])
+    chain = maps.join(ends, ["domain", "part"]).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("part", "gap", "map"))).alias("parts"))
+
+    def first_level(level: Column, part: Column) -> Column:
+        runs = (level >= 0) & part["gap"].isNotNull() & (part["gap"] < F.element_at(size, F.greatest(level, F.lit(0)) + 1))
+        return F.when(runs, F.least(level + 1, F.lit(count - 1))).otherwise(F.lit(0))
+
+    begin = F.struct(F.lit(-1).alias("level"), F.array().cast("array<int>").alias("starts"))
     walked = F.aggregate(
-        F.col("own"),
-        F.struct(F.col("start").alias("level"), F.array().cast("array<int>").alias("all")),
-        lambda s, e: F.struct(after(s["level"], e["gap"]).alias("level"), F.concat(s["all"], F.array(after(s["level"], e["gap"]))).alias("all")),
-    )["all"]
-    joined = days.join(starts, ["domain", "day"]).select("domain", F.explode(F.arrays_zip(F.col("own"), walked.alias("level"))).alias("e"))
-    return joined.select("domain", F.col("e.own.ts").alias("ts"), F.col("e.own.event_id").alias("event_id"), F.element_at(size, F.col("e.level")).alias("backoff"))
+        "parts",
+        begin,
+        lambda s, p: F.struct(F.element_at(p["map"], first_level(s["level"], p) + 1).alias("level"), F.concat(s["starts"], F.array(first_level(s["level"], p))).alias("starts")),
+    )["starts"]
+    starts = chain.select("domain", F.explode(F.arrays_zip(F.col("parts.part").alias("part"), walked.alias("start"))).alias("z")).select("domain", "z.part", "z.start")
+    ready = sorted_rows.join(starts, ["domain", "part"]).select("domain", "ts", "event_id", "us", "part", "start").sortWithinPartitions("domain", "part", "us", "event_id")
+
+    def walk(batches):
+        key, level, last = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, us, start in zip(zip(batch.column("domain").to_pylist(), batch.column("part").to_pylist()), batch.column("us").to_pylist(), batch.column("start").to_pylist()):
+                level = start if own != key else min(level + 1, count - 1) if us - last < micros[level] else 0
+                key, last = own, us
+                out.append(levels[level])
+            yield pa.RecordBatch.from_arrays([batch.column("domain"), batch.column("ts"), batch.column("event_id"), pa.array(out, pa.int32())], names=["domain", "ts", "event_id", "backoff"])
+
+    kinds = dict(ready.dtypes)
+    return ready.mapInArrow(walk, f"domain {kinds['domain']}, ts {kinds['ts']}, event_id {kinds['event_id']}, backoff int")
 
 
 def still_blocked(states: DataFrame, at: Column) -> DataFrame:

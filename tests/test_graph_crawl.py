@@ -104,10 +104,13 @@ def test_backoffs_against_a_loop(spark, seed):
             rows.append((d, t0 + datetime.timedelta(seconds=at), i))
         want[d] = plain_backoffs(times, 300, 7200)
     r.shuffle(rows)
-    got = crawl.backoffs(spark.createDataFrame([*rows, (None, t0, 1), ("q", None, 1)], "domain string, ts timestamp, event_id int")).collect()
-    for d in want:
-        assert [x.backoff for x in sorted((g for g in got if g.domain == d), key=lambda g: g.event_id)] == want[d]
-    assert len(got) == 180
+    events = spark.createDataFrame([*rows, (None, t0, 1), ("q", None, 1)], "domain string, ts timestamp, event_id int")
+    for unit in ("day", "minute"):
+        got = crawl.backoffs(events, unit=unit).collect()
+        for d in want:
+            assert [x.backoff for x in sorted((g for g in got if g.domain == d), key=lambda g: g.event_id)] == want[d]
+        assert len(got) == 180
+    assert crawl.backoffs(events.limit(0)).collect() == []
 
 
 def test_still_blocked(spark):
