@@ -563,7 +563,7 @@ def cluster_report(spark, d):
 @query
 def cluster_terms(spark, d):
     docs = _documents(spark, d)
-    found = cluster.describe(docs, docs.select("doc_id", F.pmod(F.col("doc_id"), F.lit(10)).alias("cluster")))
+    found = cluster.describe(docs, docs.select("doc_id", F.pmod(F.col("doc_id"), F.lit(10)).alias("cluster")), summary_sentences=0)  # it has no summary column
     return found.select("cluster", "docs", F.array_join("key_terms", ",").alias("key_terms"), "topic", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
 
 

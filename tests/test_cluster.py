@@ -46,3 +46,19 @@ def test_clusters(spark):
     assert len({r.cluster for r in rows if r.doc_id % 2}) == 1 and len({r.cluster for r in rows}) == 2
     report = cluster.describe(docs, spark.createDataFrame([(r.doc_id, r.cluster) for r in rows], "doc_id bigint, cluster int")).collect()
     assert sum(r.docs for r in report) == 20 and {r.key_terms[0] for r in report} == {"apple", "engine"}
+
+
+def test_cluster_summary_reads_all_documents(spark):
+    """Sixty documents of words of their own, and after them three on one thing, which are the most central."""
+    odd = [f"alone{chr(97 + i // 26)}{chr(97 + i % 26)} stands here." for i in range(60)]
+    late = ["The river floods the valley. The river floods it.", "The river floods the valley again.", "A river floods the valley."]
+    docs = spark.createDataFrame(list(enumerate(odd + late)) + [(90, None), (91, ""), (92, "?!"), (93, "Other words. Of cluster two.")], DOC)
+    rows = docs.withColumn("cluster", F.when(F.col("doc_id") == 93, 2).when(F.col("doc_id") == 91, 3).otherwise(1))
+    parts = [(i, k, s) for i, t in enumerate(odd + late) for k, s in enumerate(t.replace(". ", ".\n").split("\n"))] + [(92, 0, "?!")]
+    want = cluster.lexrank_order([s for _, _, s in parts], rounds=200) * len(parts)
+    order = sorted(np.lexsort((np.arange(len(parts)), -np.round(want, 7)))[:3])
+    for size in (8_000_000, 300):
+        got = {(r.doc_id, r.i): r.score for r in cluster.central_sentences(rows, 100, block_chars=size).where("cluster = 1").collect()}
+        assert set(got) == {(i, k) for i, k, _ in parts} and np.allclose([got[i, k] for i, k, _ in parts], want, atol=1e-5)
+    found = {r.cluster: r.summary for r in cluster.describe(docs, rows.select("doc_id", "cluster"), summary_sentences=3).collect()}
+    assert found == {1: " ".join(parts[i][2] for i in order), 2: "Other words. Of cluster two.", 3: ""} and "river" in found[1]
