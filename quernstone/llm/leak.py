@@ -79,7 +79,7 @@ class Items:
             self.tables.append((value[order], np.concatenate(row)[order] if len(value) else value.astype(np.int64), np.concatenate(pos)[order] if len(value) else value.astype(np.int64)))
 
     def search(self, texts: list[list[str]]) -> list[tuple[int, int, str, int, int, int, float]]:
-        """(text, item_id, field, run, text_pos, item_pos, similarity): of each text and field the best match around any hit."""
+        """(text, item_id, field, run, text_pos, item_pos, similarity): of each text and field the longest run around any hit, and the highest similarity, which may be that of another alignment."""
         get = self.code.get
         gap = [-1] * SPAN
         flat, starts = [], []
@@ -113,9 +113,9 @@ class Items:
             total = np.r_[0, np.cumsum(equal)]
             width = min(STRETCH, len(equal))
             near = float((total[width:] - total[:-width]).max() / width) if width else 0.0
-            found = (int(runs[r]), int(a + edges[2 * r] - first), int(a + edges[2 * r] - side), near)
-            if found > best.get((text, k), (0,)):
-                best[text, k] = found
+            found = (int(runs[r]), int(a + edges[2 * r] - first), int(a + edges[2 * r] - side))
+            *run, most = best.get((text, k), (0, 0, 0, 0.0))
+            best[text, k] = (*max(found, tuple(run)), max(near, most))
         return [(text, self.rows[k][0], self.rows[k][1], run, p, q, near) for (text, k), (run, p, q, near) in sorted(best.items())]
 
 
@@ -133,7 +133,7 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS):
 
 
 def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """FOUND: the best match of each document with each passage or question that a seed of it met, if its run has RUN words or its similarity is SIMILAR.
+    """FOUND: of each document with each passage or question that a seed of it met the longest run and the highest similarity of any alignment, if the one has RUN words or the other is SIMILAR.
 
     Texts or items of fewer than SPAN words give no row; nulls neither. Repeated doc_ids give repeated rows.
     """

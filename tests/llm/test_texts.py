@@ -164,6 +164,18 @@ def test_words():
     assert leak.words_of("Café **X_y** 2nd—one’s") == ["café", "x", "y", "2nd", "one", "s"] and leak.words_of(None) == []
 
 
+def test_leaks_keep_similarity_of_another_alignment(spark):
+    """A copy with every sixth word replaced, and a phrase of the item elsewhere in the document whose run is longer."""
+    words = [f"w{i}" for i in range(40)]
+    copy = [f"other{i}" if i % 6 == 5 else w for i, w in enumerate(words)]
+    phrase = [words[0], "odd", *words[2:10], "even", words[11]]
+    item = spark.createDataFrame([(1, "t", "p", "q", " ".join(words), "a")], ITEM)
+    for parts in ((copy, phrase), (phrase, copy)):
+        text = " ".join(w for p in parts for w in [*p, *(f"fill{i}" for i in range(50))])
+        got = leak.leaks(spark.createDataFrame([(1, text)], DOC), item).collect()
+        assert [(r.run, r.item_word) for r in got] == [(8, 2)] and got[0].similarity == pytest.approx(20 / 24)
+
+
 # -- 10
 
 
