@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,19 @@ from quernstone.llm.common import read
 from quernstone.session import spread, written
 
 
-def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, boilerplate.TreeModel]:
+@dataclass
+class Models:
+    """What is learned from one bounded sample of the labelled pages."""
+
+    docs: DataFrame
+    rows: list
+    tree: boilerplate.TreeModel
+
+
+def _models(spark: SparkSession, d: str) -> Models:
     docs = read(spark, d, "docs")
-    return docs, boilerplate.train(docs, read(spark, d, "page_labels"))
+    rows = boilerplate.labelled_pages(docs, read(spark, d, "page_labels"))
+    return Models(docs, rows, boilerplate.fit(rows))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +33,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_spam(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(*_tree(spark, d)).select("id", "kind", F.round("share", 6).alias("share"))
+    m = _models(spark, d)
+    return spam.spam_pages(m.docs, m.tree, spam.fit(m.tree, m.rows)).select("id", "shapes", F.round("share", 6).alias("share"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +51,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_residue(spark: SparkSession, d: str) -> DataFrame:
-    return residue.decide(written(residue.residue_candidates(*_tree(spark, d)))).select("id", "title_hit", F.round("share", 6).alias("share"))
+    m = _models(spark, d)
+    words = residue.fit(m.tree, m.rows)
+    return residue.decide(written(residue.residue_candidates(m.docs, m.tree, words)), words).select("id", "title_hit", F.round("share", 6).alias("share"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +61,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_messages(spark: SparkSession, d: str) -> DataFrame:
-    return residue.recurring_messages(*_tree(spark, d))
+    m = _models(spark, d)
+    return residue.recurring_messages(m.docs, m.tree, residue.fit(m.tree, m.rows))
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +75,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_bodies(*_tree(spark, d))
+    m = _models(spark, d)
+    return boilerplate.main_bodies(m.docs, m.tree)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.boilerplate_lines(*_tree(spark, d))
+    m = _models(spark, d)
+    return boilerplate.boilerplate_lines(m.docs, m.tree)
 
 
 def p6_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -79,21 +96,18 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     return repeats.cut_pages(read(spark, d, "docs"), p6_lines(spark, d))
 
 
-def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, boilerplate.TreeModel, quality.LineHMM]:
-    docs = read(spark, d, "docs")
-    rows = boilerplate.labelled_pages(docs, read(spark, d, "page_labels"))
-    tree = boilerplate.fit(rows)
-    return docs, tree, quality.fit(tree, rows)
-
-
 def p7_quality(spark: SparkSession, d: str) -> DataFrame:
-    stats = quality.page_quality(*_quality(spark, d))
+    m = _models(spark, d)
+    stats = quality.page_quality(m.docs, m.tree, quality.fit(m.tree, m.rows))
     return stats.select("id", "lines", "words", *[F.round(c, 6).alias(c) for c in quality.STATS[2:]])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = written(quality.not_prose_candidates(*_quality(spark, d)))
-    return rows.where("bad").select("id").join(residue.decide(rows).select("id"), "id", "left_anti")
+    m = _models(spark, d)
+    shapes, words = spam.fit(m.tree, m.rows), residue.fit(m.tree, m.rows)
+    rows = written(quality.not_prose_candidates(m.docs, m.tree, quality.fit(m.tree, m.rows), shapes, words))
+    others = residue.decide(rows, words).select("id").unionByName(spam.spam_of(rows, shapes).select("id"))
+    return rows.where("bad").select("id").join(others, "id", "left_anti")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -38,6 +38,17 @@ def current_pages(docs: DataFrame, *columns: str) -> DataFrame:
     return seen.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_at")
 
 
+def page_texts(docs: DataFrame, *more: str) -> DataFrame:
+    """(id, site, title, content_markdown, ...) of current pages: what the operators on main bodies read."""
+    return current_pages(docs, "url", "title", "content_markdown", *more).select("id", host(F.col("url")).alias("site"), "title", "content_markdown", *more)
+
+
+def site_name(site: str | None) -> str:
+    """The label before the last one of a host, by which a site calls itself."""
+    parts = (site or "").split(".")
+    return parts[-2] if len(parts) > 1 else ""
+
+
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -63,7 +74,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
         return pa.list_(_arrow(kind.elementType))
     if isinstance(kind, T.StructType):
         return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
-    simple = {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
+    simple = {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
     return simple[type(kind)]
 
 

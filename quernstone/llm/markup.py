@@ -1,11 +1,13 @@
 """Problem 4: HTML, wiki and LaTeX markup left in Markdown texts.
 
-Outside code (fenced blocks and inline code) markup of the three kinds is found and turned into
-plain text or the Markdown that means the same: headings, lists, table rows, code and formulas
-stay, tags, comments, templates and references go. The best contiguous content region of a page
-is the maximum-scoring run of lines: words score positive, tags and links negative, with weights
-learned from labelled pages (log odds of a token class in prose pages against the other pages,
-sign held), found in one linear scan.
+A text is scanned once, token by token: words, markup of the three kinds, links, formulas, code and
+other marks. Words, code and formulas score positive, markup, links and marks negative, with weights
+learned from labelled pages (log odds of a token class in prose pages against the other pages, sign
+held; a mark is what separates the items of a line); the maximum-scoring run of tokens, found in the same linear scan, is the content region. The
+kinds of foreign markup are those of the tokens the scan consumed. The text is cut to the region
+(whole lines, whole code blocks), and its markup turned into plain text or the Markdown that means
+the same: headings, lists, table rows, code and formulas stay, tags, comments, templates and
+references go.
 """
 
 from __future__ import annotations
@@ -25,14 +27,13 @@ HTML_TAGS = """a abbr address article aside audio b blockquote body br button ca
 h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol optgroup option p param pre q s samp script section select small source
 span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr track tt u ul var video wbr""".split()
 _TAG = r"</?(?:" + "|".join(sorted(HTML_TAGS, key=lambda t: (-len(t), t))) + r")(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>"
-_ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{2,7}|#[xX][0-9A-Fa-f]{2,6});"
-HTML = re.compile(rf"{_TAG}|<!--|<!DOCTYPE\b|{_ENTITY}", re.I)
+_ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]+|#\d+|#[xX][0-9A-Fa-f]+);"
+_HTML = rf"(?i:{_TAG}|<!--|<!DOCTYPE\b|{_ENTITY})"
 # Namespaces of media and categories in wiki links.
 _MEDIA = r"(?:file|image|category|media|datei|bild|kategorie|fichier|catégorie|archivo|imagen|categoría)"
-WIKI = re.compile(
-    r"\[\[(?![ \t])[^\[\]\n]{1,200}\]\](?!\()|(?<![\w'])'''?(?=[^\W_])[^'\n]{1,120}(?<=[\w.,!?;:)])'''?(?!')|^(={2,6})[ \t]*[^=\s][^=\n]{0,120}?[ \t]*\1[ \t]*$|^\{\|(?=[ \t\n]|$)|^\|\}[ \t]*$"
-    r"|\{\{[A-Za-z][^{}|\n]{0,60}\|[^{}\n]*=[^{}\n]*\}\}|(?<![\]\w!])\[https?://[^\s\]]+ [^\]\n]+\](?!\()|^#REDIRECT\b|__(?:TOC|NOTOC|NOEDITSECTION)__|</?(?:ref|nowiki|gallery)\b[^<>\n]*>",
-    re.M,
+_WIKI = (
+    r"\[\[(?![ \t])[^\[\]\n]+\]\](?!\()|(?<![\w'])'''?(?=[^\W_])[^'\n]+(?<=[\w.,!?;:)])'''?(?!')|^(?P<eq>={2,6})(?!=)(?=[ \t]*[^=\s])[^=\n]+(?P=eq)(?!=)[ \t]*$|^\{\|(?=[ \t\n]|$)|^\|\}[ \t]*$"
+    r"|\{\{[A-Za-z][^{}|\n]*\|[^{}\n]*=[^{}\n]*\}\}|(?<![\]\w!])\[https?://[^\s\]]+ [^\]\n]+\](?!\()|^#REDIRECT\b|__(?:TOC|NOTOC|NOEDITSECTION)__|</?(?:ref|nowiki|gallery)\b[^<>\n]*>"
 )
 # Commands and environments of LaTeX.
 _COMMANDS = """alpha approx backslash bar begin beta bf bibitem bullet cap caption cdot cdots centering chi circ cite citep citet cos cup delta det documentclass emph end epsilon equiv eta exists exp
@@ -40,10 +41,10 @@ footnote forall frac gamma ge geq hat hline hspace in includegraphics infty int
 neq newcommand newline noindent nu omega overline pageref paragraph partial phi pi pm prod psi qquad quad ref rho right section sigma sim sin sqrt subset subsection subsubsection sum tableofcontents tan tau textbf textit
 textrm textsc texttt theta times title tilde to underline usepackage varepsilon vec vspace wedge xi zeta chapter eqref""".split()
 _CMD = r"(?<![\w:\\/.])\\(?:" + "|".join(sorted(_COMMANDS, key=lambda t: (-len(t), t))) + r")(?![A-Za-z\\])"
-LATEX = re.compile(rf"{_CMD}|(?<![\w:\\/.])\\[A-Za-z]+\{{[^{{}}\n]*\}}|(?<![\\$\w])\$(?=[^\s$])[^$\n]*[\\^_][^$\n]*(?<=[^\s$])\$(?![\w$])|\$\$(?=[^$]*(?:\\[A-Za-z]|[A-Za-z0-9}}][ ]?[\^_]))[^$]{{1,2000}}\$\$|\\\([^\n]*?\\\)|^[ \t]*\\\[", re.M)
-# Symbols that all but rule a kind out when missing: asked first, for speed.
-_HINT = {"html": ("<", "&"), "wiki": ("[[", "''", "==", "{|", "{{", "[http", "__", "#REDIRECT"), "latex": ("\\", "$")}
-_FORM = {"html": HTML, "wiki": WIKI, "latex": LATEX}
+_COMMAND = rf"{_CMD}|(?<![\w:\\/.])\\[A-Za-z]+\{{[^{{}}\n]*\}}"
+_FORMULA = r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*[\\^_][^$\n]*(?<=[^\s$])\$(?![\w$])|\$\$(?=[^$]*(?:\\[A-Za-z]|[A-Za-z0-9}][ ]?[\^_]))[^$]+\$\$|\\\([^\n]*?\\\)|^[ \t]*\\\["
+# Symbols without one of which no markup of any kind stands in a text.
+_HINTS = ("<", "&", "[[", "''", "==", "{|", "|}", "{{", "[http", "__", "#REDIRECT", "\\", "$")
 
 _INLINE = re.compile(r"(?<!`)(?:``(?!`)(?:[^`\n]|`(?!`))+``|`[^`\n]+`)(?!`)")
 _FENCE = re.compile(r"^ *(```|~~~)")
@@ -75,12 +76,61 @@ def pieces(text: str) -> list[tuple[bool, str]]:
     return out
 
 
+KINDS = ("html", "wiki", "latex")
+_SCAN = re.compile(
+    rf"(?P<word>[^\W\d_]{{2,}})|(?P<code>{_INLINE.pattern})|(?P<html>{_HTML})|(?P<wiki>{_WIKI})|(?P<formula>{_FORMULA})|(?P<latex>{_COMMAND})|(?P<link>\]\([^)\s]*\)|https?://\S+)|(?P<mark>(?<=\S) [|>»›/→] (?=\S))",
+    re.M,
+)
+_INSIDE = {"html": re.compile(_HTML), "wiki": re.compile(_WIKI, re.M), "latex": re.compile(f"{_COMMAND}|{_FORMULA}", re.M)}
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_MARK = re.compile(r"(?<=\S) [|>»›/→] (?=\S)")
+
+#: Classes of tokens. Formulas and code count as words.
+CLASSES = ("word", "tag", "link", "mark")
+
+
+def scan(parts: list[tuple[bool, str]]) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """Kinds of foreign markup met outside code, and tokens: (place in the text, class, how many in a row of them)."""
+    kinds: set[str] = set()
+    tokens: list[tuple[int, int, int]] = []
+    base = 0
+    for code, text in parts:
+        if code:
+            tokens.append((base, 0, max(len(_WORD.findall(text)), 1)))
+        elif any(h in text for h in _HINTS):
+            for m in _SCAN.finditer(text):
+                kind = m.lastgroup if m.lastgroup != "eq" else "wiki"
+                at = base + m.start()
+                if kind in ("word", "code"):
+                    tokens.append((at, 0, 1))
+                elif kind == "link":
+                    tokens.append((at, 2, 1))
+                elif kind == "mark":
+                    # bars of table rows are structure
+                    if text[text.rfind("\n", 0, m.start()) + 1] != "|":
+                        tokens.append((at, 3, 1))
+                else:
+                    own = m.group()
+                    kinds.add("latex" if kind == "formula" else kind)
+                    # markup of another kind may stand within
+                    kinds.update(k for k, form in _INSIDE.items() if k not in kinds and len(own) > 4 and form.search(own, 1))
+                    tokens.append((at, 0 if kind == "formula" else 1, 1))
+                    if kind == "wiki" and (words := len(_WORD.findall(own))):
+                        tokens.append((at, 0, words))
+        else:
+            at = base
+            for line in text.split("\n"):
+                if line:
+                    counts = (len(_WORD.findall(line)), 0, line.count("](") + line.count("://"), 0 if line[0] == "|" else len(_MARK.findall(line)))
+                    tokens += [(at, c, n) for c, n in enumerate(counts) if n]
+                at += len(line) + 1
+        base += len(text)
+    return [k for k in KINDS if k in kinds], tokens
+
+
 def kinds_of(parts: list[tuple[bool, str]]) -> list[str]:
     """Kinds of foreign markup outside code, in the order html, wiki, latex."""
-    text = "\n".join(x for code, x in parts if not code)
-    if "`" in text:
-        text = _INLINE.sub(" ", text)
-    return [kind for kind, form in _FORM.items() if any(h in text for h in _HINT[kind]) and form.search(text)]
+    return scan(parts)[0]
 
 
 def _outside_inline(text: str, change) -> str:
@@ -109,21 +159,27 @@ _HTML_STEPS = [
 ]
 _WIKI_STEPS = [
     (re.compile(rf"\[\[\s*:?{_MEDIA}:[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", re.I), ""),
-    (re.compile(r"\{\{[A-Za-z][^{}|\n]{0,60}\|[^{}\n]*=[^{}\n]*\}\}"), ""),
+    (re.compile(r"\{\{[A-Za-z][^{}|\n]*\|[^{}\n]*=[^{}\n]*\}\}"), ""),
     (re.compile(r"\[\[(?![ \t])[^\[\]|\n]*\|([^\[\]\n]*)\]\](?!\()"), r"\1"),
     (re.compile(r"\[\[(?![ \t])([^\[\]\n]*)\]\](?!\()"), r"\1"),
     (re.compile(r"(?<![\]\w!])\[https?://[^\s\]]+ ([^\]\n]+)\](?!\()"), r"\1"),
-    (re.compile(r"^(={2,6})[ \t]*([^=\s][^=\n]*?)[ \t]*\1[ \t]*$", re.M), lambda m: "#" * len(m.group(1)) + " " + m.group(2)),
-    (re.compile(r"(?<![\w'])('''?)(?=[^\W_])([^'\n]{1,120})(?<=[\w.,!?;:)])\1(?!')"), r"\2"),
+    (re.compile(r"^(={2,6})(?!=)(?=[ \t]*[^=\s])([^=\n]+)\1(?!=)[ \t]*$", re.M), lambda m: "#" * len(m.group(1)) + " " + m.group(2).strip()),
+    (re.compile(r"(?<![\w'])('''?)(?=[^\W_])([^'\n]+)(?<=[\w.,!?;:)])\1(?!')"), r"\2"),
     (re.compile(r"^\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?", re.M), ""),
     (re.compile(r"^![ \t]*([^\n]*!![^\n]*)$", re.M), lambda m: "| " + m.group(1).replace("!!", "|") + " |"),
     (re.compile(r"^\|[ \t]*([^|\n]+\|\|[^\n]*)$", re.M), lambda m: "| " + m.group(1).replace("||", "|") + " |"),
     (re.compile(r"</?(?:ref|nowiki|gallery)\b[^<>\n]*>|__(?:TOC|NOTOC|NOEDITSECTION)__"), ""),
 ]
+def _table(m: re.Match) -> str:
+    rows = [row for row in m.group(1).replace("\\hline", "").split("\\\\") if row.strip()]
+    return "\n".join(f"| {' | '.join(cell.strip() for cell in row.split('&'))} |" for row in rows)
+
+
 _LATEX_STEPS = [
     (re.compile(r"\\(sub)?(sub)?section\*?\{([^{}\n]*)\}"), lambda m: "#" * (2 + bool(m.group(1)) + bool(m.group(2))) + " " + m.group(3)),
     (re.compile(r"\\begin\{(?:equation|align|displaymath|gather)\*?\}\s*(.*?)\s*\\end\{(?:equation|align|displaymath|gather)\*?\}", re.S), r"$$\1$$"),
     (re.compile(r"\\begin\{(?:verbatim|lstlisting)\}\n?(.*?)\n?\\end\{(?:verbatim|lstlisting)\}", re.S), r"```\n\1\n```"),
+    (re.compile(r"\\begin\{tabular\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?(.*?)\\end\{tabular\*?\}", re.S), _table),
     (re.compile(r"^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", re.M), "- "),
     (re.compile(r"^[ \t]*\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?[ \t]*\n?", re.M), ""),
     (re.compile(r"~?\\(?:ref|cite[pt]?|label|pageref|eqref)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}"), ""),
@@ -153,84 +209,85 @@ def clean(parts: list[tuple[bool, str]], kinds: list[str]) -> str:
     return _BLANK.sub("\n\n", "".join(x if code else _outside_inline(x, change) for code, x in parts)).strip("\n")
 
 
-CLASSES = ("word", "tag", "link", "mark")
-_WORD = re.compile(r"[^\W\d_]{2,}")
-_ANY_TAG = re.compile(rf"{_TAG}|\[\[|\]\]|\{{\{{|\}}\}}|\\[A-Za-z]+", re.I)
-
-
-def line_counts(line: str) -> tuple[int, int, int, int]:
-    """Tokens of a line by class: words, tags and commands, links, other marks."""
-    links = line.count("](") + line.count("://")
-    tags = len(_ANY_TAG.findall(line)) if "<" in line or "\\" in line or "[[" in line or "{{" in line else 0
-    words = max(line.count(" ") + 1 - tags, 0) if line.isascii() and line.replace(" ", "").isalpha() else len(_WORD.findall(line))
-    return words, tags, links, sum(map(line.count, "|>»›=*#&"))
-
-
 @dataclass(frozen=True)
 class Weights:
     """Scores of a word (positive) and of tags, links and marks (negative)."""
 
     word: float = 1.0
-    tag: float = -2.0
-    link: float = -4.0
+    tag: float = -0.5
+    link: float = -3.0
     mark: float = -0.8
 
     @classmethod
-    def learn(cls, rows: list[tuple[str, str]]) -> Weights:
-        """From (text, label): log odds of the classes in prose pages against the others, smoothed; signs are held, sizes limited."""
+    def learn(cls, rows: list[tuple[str, str]], prior: float = 50.0) -> Weights:
+        """From (text, label): log odds of the classes in prose pages against the others; ``prior`` tokens of each class are given to both sides. Signs are held."""
         start = cls()
         if not rows:
             return start
-        count = {True: [1.0] * 4, False: [1.0] * 4}
+        count = {True: [prior] * 4, False: [prior] * 4}
         for text, label in rows:
-            for line in (text or "").split("\n"):
-                for i, n in enumerate(line_counts(line)):
-                    count[label == "prose"][i] += n
+            for _, c, n in scan(pieces(text or ""))[1]:
+                count[label == "prose"][c] += n
         odds = [math.log((count[True][i] / sum(count[True])) / (count[False][i] / sum(count[False]))) for i in range(4)]
-        word = min(max(odds[0], 0.2), 2.0)
-        rest = [-min(max(-x / word, 0.5), 6.0) for x in odds[1:]]
-        return cls(1.0, *rest)
-
-
-def best_region(lines: list[str], w: Weights) -> tuple[int, int, float]:
-    """First and last line (from 1) of the maximum-scoring run and its score; (0, 0, 0.0) if no line scores above 0. Of equal runs the first."""
-    best, first, last = 0.0, 0, 0
-    run, start = 0.0, 1
-    for number, line in enumerate(lines, 1):
-        if line:
-            words, tags, links, marks = line_counts(line)
-            score = w.word * words + w.tag * tags + w.link * links + w.mark * marks - (1.0 if words else 0.5)
-        else:
-            score = 0.0
+        return cls(max(odds[0], 0.05), *(min(x, -0.02) for x in odds[1:]))
+
+
+def best_region(tokens: list[tuple[int, int, int]], w: Weights) -> tuple[int, int, float]:
+    """Place of the first and the last token of the maximum-scoring run and its score; (0, 0, 0.0) if no token scores above 0. Of equal runs the first."""
+    score = (w.word, w.tag, w.link, w.mark)
+    best, first, last, run, start = 0.0, 0, 0, 0.0, 0
+    for at, c, n in tokens:
+        own = score[c] * n
         if run <= 0:
-            run, start = score, number
+            run, start = own, at
         else:
-            run += score
+            run += own
         if run > best:
-            best, first, last = run, start, number
+            best, first, last = run, start, at
     return first, last, best
 
 
+def cut(parts: list[tuple[bool, str]], first: int, last: int) -> tuple[list[tuple[bool, str]], int, int]:
+    """The parts from the line of place ``first`` to that of ``last``, code blocks whole, and the numbers of these lines from 1."""
+    out, base, line, low, high = [], 0, 1, 0, 0
+    for code, text in parts:
+        end = base + len(text)
+        if end > first and base <= last:
+            a = 0 if code or first <= base else text.rfind("\n", 0, first - base) + 1
+            b = len(text) if code or last >= end else text.find("\n", last - base)
+            b = len(text) if b < 0 else b
+            out.append((code, text[a:b]))
+            low = low or line + text.count("\n", 0, a)
+            high = line + text.count("\n", 0, b) - text[:b].endswith("\n")
+        base = end
+        line += text.count("\n")
+    return out, low, high
+
+
+def cleaned(raw: str | None, weights: Weights) -> tuple[str, list[str], int, int, float]:
+    """(clean text of the content region, kinds of foreign markup of the whole text, first and last line of the region, its score)."""
+    parts = pieces(raw or "")
+    kinds, tokens = scan(parts)
+    first, last, score = best_region(tokens, weights)
+    if score <= 0:
+        return "", kinds, 0, 0, 0.0
+    region, low, high = cut(parts, first, last)
+    return clean(region, kinds), kinds, low, high, score
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> Weights:
     """Weights from at most ``sample`` labelled pages (see boilerplate.labelled_pages)."""
     return Weights.learn([(r.content_markdown, r.kind) for r in labelled_pages(docs, labels, sample)])
 
 
 def cleaned_pages(docs: DataFrame, weights: Weights) -> DataFrame:
-    """One row per current page: clean text, kinds of foreign markup, best content region (line numbers of the clean text; 0 if none). Null texts give empty ones."""
+    """One row per current page: clean text of the content region, kinds of foreign markup, lines of the region (0 if none: no word scores). Null texts give empty ones."""
     pages = current_pages(docs, "content_markdown")
 
     def make():
         def work(b):
-            texts, kinds, regions = [], [], []
-            for raw in b["content_markdown"]:
-                parts = pieces(raw or "")
-                found = kinds_of(parts)
-                text = clean(parts, found)
-                texts.append(text)
-                kinds.append(found)
-                regions.append(best_region(text.split("\n"), weights))
-            return {"id": b["id"], "text": texts, "markup": kinds, "first_line": [r[0] for r in regions], "last_line": [r[1] for r in regions], "score": [r[2] for r in regions]}
+            rows = [cleaned(raw, weights) for raw in b["content_markdown"]]
+            return {"id": b["id"], **{k: [r[i] for r in rows] for i, k in enumerate(("text", "markup", "first_line", "last_line", "score"))}}
 
         return work
 

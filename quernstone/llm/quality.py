@@ -1,10 +1,12 @@
 """Problem 7: statistics of a page's text, and its lines labelled prose, list, table or junk by a hidden Markov model.
 
-What is seen of a line is one of a few classes of its statistics (letters, digits and other marks,
-mixed and broken words, columns, common words, how it ends). States are the four labels;
-transitions and emissions are counted on a bounded sample of labelled pages (a few rounds of
-Viterbi training, started from the pages' labels). The most likely path of all pages of a batch
-is found together, step by step, with numpy. Shares of the labels are by characters.
+What is seen of a line are its statistics, each in a few ranges: shares of letters, digits, other marks
+and common words, number and length of words, fields, numbers among the tokens, words mixed with
+digits or broken by marks, how it begins and ends. States are the four labels; transitions and the
+chances of every range are learned on a bounded sample of labelled pages: the pages' labels name the
+states of their lines at first, then most likely paths correct them (Viterbi training, which lets
+short lists within prose, headings in tables and wrong labels go their own way). The most likely path
+of all pages of a batch is found together, step by step, with numpy. Shares are by characters.
 """
 
 from __future__ import annotations
@@ -14,144 +16,156 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quernstone.llm.boilerplate import BodyFinder, TreeModel, body_lines
-from quernstone.llm.common import COMMON, current_pages, host, map_rows
+from quernstone.llm.boilerplate import BodyFinder, TreeModel, Words, body_lines
+from quernstone.llm.common import COMMON, map_rows, page_texts
 from quernstone.llm.residue import CANDIDATES, Judge, candidate
-from quernstone.llm.spam import spam_kind
+from quernstone.llm.spam import SHAPES, ShapeModel, Shaper
 
 LABELS = ("prose", "list", "table", "junk")
 
-OBSERVED = ("sentence", "text", "names", "item", "columns", "figures", "symbols", "broken", "random", "encoded", "word", "other")
-_OB = {k: i for i, k in enumerate(OBSERVED)}
-N_OB = len(OBSERVED)
-
 _WORD = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-_LINK = re.compile(r"\[([^\[\]\n]{0,400})\]\([^)\s]*\)")
-_MOJIBAKE = re.compile(r"Ã[\x80-\xbf©¨¼¶¤Ÿ±³¡­]|Â[\x80-\xbf]|â€|ï¿½|�")
-_NUMBER = re.compile(r"^[-+(]?[$€£]?\d[\d.,:%/-]*\)?$")
-_INNER = re.compile(r"\w[^\w\s'’.,/@&:;+)(\-\]\[]+\w")
-_SPLIT_BY_DIGIT = re.compile(r"[^\W\d_][01](?=[^\W\d_])")
-_NOISE = "~^|#*_"
+_LINK = re.compile(r"\[([^\[\]\n]*)\]\([^)\s]*\)|<?https?://[^\s>]+>?")
+_MOJIBAKE = re.compile(r"[ÃÂ][\x80-\xbf©¨¼¶¤Ÿ±³¡\xad]|â€|ï¿½|�")
+_NUMBER = re.compile(r"(?<![^\s|;,(])[-+]?[$€£]?\d[\d.,:%/-]*(?![^\s|;,)])")
+_INNER = re.compile(r"[^\W\d_][^\w\s'’.,/@&:;+)(\-\]\[]+(?=[^\W_])|[^\W\d_][01](?=[^\W\d_])")
+_MIXED = re.compile(r"\b(?:[^\W\d_]+\d|\d+[^\W\d_])\w*")
 # Markup is no sign of broken text.
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--|-->|&#?\w+;|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\'\'\'?|\{\{|\}\}|\\[A-Za-z]+|\$[^$\n]*[\\^_][^$\n]*\$|\\[()]")
-_MIXED = re.compile(r"^(?=\w*\d)(?=\w*[^\W\d_])\w+$")
-
-
-def observe(line: str) -> tuple[int, dict[str, float]]:
-    """Class of a line and the figures it comes from."""
-    text = _LINK.sub(r"\1", _BULLET.sub("", line)).strip() if "[" in line or line[:1] in " -*+•0123456789" else line.strip()
+_NO_DIGITS = {i: None for i in range(48, 58)}
+_ENDS = frozenset(".!?:…\"”»")
+
+#: Bounds of the ranges of each statistic of a line.
+RANGES = {
+    "letters": (0.2, 0.45, 0.65, 0.75),
+    "digits": (0.01, 0.08, 0.2, 0.4),
+    "marks": (0.02, 0.06, 0.12, 0.3),
+    "common": (0.01, 0.1, 0.2, 0.35),
+    "words": (1, 3, 5, 10, 25),
+    "length": (2.5, 4.0, 6.0, 9.0),
+    "fields": (1, 2, 4),
+    "numbers": (0.1, 0.3, 0.6),
+    "mixed": (0.05, 0.2, 0.4),
+    "broken": (0.02, 0.06, 0.15),
+    "longest": (16, 30, 50),
+    "ends": (1,),
+    "item": (1,),
+}
+NAMES = tuple(RANGES)
+_BOUNDS = [np.array(RANGES[k]) for k in NAMES]
+_SIZES = [len(b) + 1 for b in _BOUNDS]
+
+
+def observe(line: str) -> tuple[list[float], dict[str, float]]:
+    """Statistics of a line in the order of RANGES, and the counts they come from."""
+    text = _LINK.sub(r"\1", line) if "](" in line or "://" in line else line
+    bullet = _BULLET.match(text)
+    text = (text[bullet.end() :] if bullet else text).strip()
     if "<" in text or "\\" in text or "[[" in text or "''" in text or "&" in text or "$" in text or "{{" in text:
         text = _MARKUP.sub(" ", text).strip()
     size = max(len(text), 1)
     words = _WORD.findall(text)
-    letters = sum(map(len, words))
-    digits = sum(map(str.isdigit, text))
-    spaces = text.count(" ") + text.count("\t")
-    marks = size - letters - digits - spaces
     tokens = text.split()
-    common = sum(w.lower() in COMMON for w in words)
-    figures = {"chars": size, "words": len(words), "letters": letters, "digits": digits, "marks": marks, "common": common}
-    n = len(words)
-    bullet = text != line.strip()
-    end = text[-1:]
-    numbers = sum(bool(_NUMBER.match(t.strip(";|,"))) for t in tokens) if digits else 0
-    if not letters:
-        return _OB["figures" if digits * 2 >= marks else "symbols"], figures
-    if len(_MOJIBAKE.findall(text)) * 20 >= n + 8 and len(_MOJIBAKE.findall(text)) > 1:
-        return _OB["broken"], figures
-    if marks * 3 > size and not line.lstrip().startswith("|"):
-        return _OB["symbols"], figures
-    longest = max(map(len, tokens), default=0)
-    if longest >= 40 and digits * 40 >= size and spaces * 20 < size and "://" not in text:
-        return _OB["encoded"], figures
-    if digits and len(tokens) >= 3 and sum(bool(_MIXED.match(t)) for t in tokens) * 5 >= 2 * len(tokens):
-        return _OB["random"], figures
-    noise = sum(map(text.count, _NOISE)) + (len(_SPLIT_BY_DIGIT.findall(text)) if digits else 0)
-    if noise >= 3 and noise * 22 >= size and n >= 3 and "](" not in line and "://" not in line and not line.lstrip().startswith("|"):
-        return _OB["broken"], figures
-    inner = len(_INNER.findall(text)) if marks * 25 >= size else 0
-    if inner * 7 >= len(tokens) + 4 and "](" not in line and "://" not in line and not line.lstrip().startswith("|") and text.count(";") < 2:
-        return _OB["broken"], figures
-    fields = text.strip("|").count("|") + text.count("\t") + text.count(";")
-    if line.lstrip().startswith("|") or (numbers >= 2 and numbers * 2 >= len(tokens)) or ("\t" in text and fields >= 1) or (digits * 3 >= size and fields >= 2):
-        return _OB["columns"], figures
-    if n >= 5 and common * 8 >= n:
-        return _OB["sentence" if end and end in ".!?:…\"”»" else "text"], figures
-    if n >= 5 and end and end in ".!?" and not text.count(",") * 2 >= n:
-        return _OB["text"], figures
-    if bullet:
-        return _OB["item"], figures
-    return _OB["word" if n <= 2 else "names"], figures
+    n, letters = len(words), sum(map(len, words))
+    digits = len(text) - len(text.translate(_NO_DIGITS))
+    marks = max(len(text) - letters - digits - (len(text) - sum(map(len, tokens))), 0)
+    common = sum(w in COMMON for w in map(str.lower, words))
+    fields = text.strip("|").count("|") + text.count("\t") + text.count(";") + (line.lstrip()[:1] == "|")
+    count = max(len(tokens), 1)
+    broken = len(_INNER.findall(text)) if marks or digits else 0
+    if not text.isascii():
+        broken += len(_MOJIBAKE.findall(text))
+    numbers = len(_NUMBER.findall(text)) if digits else 0
+    mixed = len(_MIXED.findall(text)) if digits else 0
+    seen = [letters / size, digits / size, marks / size, common / max(n, 1), n, letters / max(n, 1), fields, numbers / count, mixed / count, broken / count, max(map(len, tokens), default=0), text[-1:] in _ENDS and n > 4, bool(bullet)]
+    return seen, {"chars": size, "words": n, "letters": letters, "digits": digits, "marks": marks, "common": common}
 
 
 _RULE = re.compile(r"^[\s|:*_=-]*$")
 
 
-def sequence(body: list[tuple[int, str, str]]) -> tuple[list[str], list[dict[str, float]], list[int], list[int]]:
-    """Lines judged (no headings, code or rules), their figures, the classes seen, and where each line's begin.
-
-    A long line of prose counts as several sentences, so that a paragraph between table rows or names is not swallowed by them."""
-    lines, figures, seen, starts = [], [], [], []
+def sequence(body: list[tuple[int, str, str]]) -> tuple[list[str], list[dict[str, float]], np.ndarray]:
+    """Lines judged (no headings, code or rules), their counts, and a row of ranges for each with its number of characters last."""
+    lines, figures, seen = [], [], []
     for _, sym, line in body:
         if sym in ("heading", "code") or not sym and _RULE.match(line):
             continue
-        o, own = observe(line)
+        own, counts = observe(line)
         lines.append(line)
-        figures.append(own)
-        starts.append(len(seen))
-        seen += [o] * (min(int(own["chars"]) // 60 + 1, 8) if o == _OB["sentence"] else 1)
-    return lines, figures, seen, starts
+        figures.append(counts)
+        seen.append([*own, counts["chars"]])
+    if not seen:
+        return lines, figures, np.zeros((0, len(NAMES) + 1), np.int64)
+    raw = np.array(seen, float)
+    return lines, figures, np.stack([*(np.searchsorted(b, raw[:, j], side="right") for j, b in enumerate(_BOUNDS)), raw[:, -1]], 1).astype(np.int64)
+
+
+#: Chances of ranges before anything is learned, where they are not even: by label, statistic and range.
+_START = {
+    "prose": {"common": (0.05, 0.15, 0.3, 0.3, 0.2), "words": (0.01, 0.03, 0.06, 0.3, 0.4, 0.2), "ends": (0.15, 0.85), "letters": (0.01, 0.04, 0.15, 0.3, 0.5), "fields": (0.94, 0.03, 0.02, 0.01), "numbers": (0.9, 0.08, 0.01, 0.01), "mixed": (0.9, 0.08, 0.01, 0.01), "broken": (0.85, 0.1, 0.04, 0.01)},
+    "list": {"common": (0.85, 0.06, 0.04, 0.03, 0.02), "words": (0.03, 0.55, 0.3, 0.1, 0.015, 0.005), "ends": (0.97, 0.03), "fields": (0.94, 0.03, 0.02, 0.01), "numbers": (0.9, 0.05, 0.03, 0.02), "mixed": (0.9, 0.06, 0.02, 0.02), "broken": (0.85, 0.1, 0.04, 0.01), "longest": (0.9, 0.08, 0.01, 0.01)},
+    "table": {"common": (0.85, 0.06, 0.04, 0.03, 0.02), "ends": (0.97, 0.03), "digits": (0.1, 0.2, 0.25, 0.25, 0.2), "fields": (0.15, 0.2, 0.35, 0.3), "numbers": (0.2, 0.15, 0.25, 0.4)},
+    "junk": {"common": (0.8, 0.1, 0.06, 0.03, 0.01), "letters": (0.3, 0.25, 0.25, 0.15, 0.05), "fields": (0.8, 0.1, 0.06, 0.04), "mixed": (0.3, 0.15, 0.2, 0.35), "broken": (0.25, 0.15, 0.25, 0.35), "longest": (0.5, 0.15, 0.15, 0.2), "marks": (0.2, 0.15, 0.15, 0.25, 0.25)},
+}
+#: Parameter: what the evidence of one line is worth; the statistics are not independent of each other.
+TEMPER = 0.5
 
 
 @dataclass
 class LineHMM:
-    """Log potentials: start (4), change (4 x 4), emit (4 x N_OB)."""
+    """Log potentials: start (4), change (4 x 4), and for each statistic 4 x its ranges."""
 
     start: np.ndarray
     change: np.ndarray
-    emit: np.ndarray
+    emit: list[np.ndarray]
     sample: int = 0
 
     @classmethod
     def begin(cls) -> LineHMM:
         """Potentials without any labelled page; the pseudo-counts of learning."""
-        likely = {"prose": ("sentence", "text"), "list": ("names", "item", "word"), "table": ("columns", "figures"), "junk": ("symbols", "broken", "random", "encoded")}
-        emit = np.full((4, N_OB), 0.002)
-        for i, label in enumerate(LABELS):
-            emit[i, [_OB[o] for o in likely[label]]] += 1 / len(likely[label])
-        emit[3, _OB["figures"]] += 0.2
-        emit /= emit.sum(1, keepdims=True)
+        emit = []
+        for name, size in zip(NAMES, _SIZES):
+            rows = np.array([_START[label].get(name, (1 / size,) * size) for label in LABELS], float) + 0.004
+            emit.append(np.log(rows / rows.sum(1, keepdims=True)))
         change = np.full((4, 4), 0.03) + np.eye(4) * 0.88
-        return cls(np.log(np.full(4, 0.25)), np.log(change / change.sum(1, keepdims=True)), np.log(emit))
+        return cls(np.log(np.full(4, 0.25)), np.log(change / change.sum(1, keepdims=True)), emit)
+
+    def evidence(self, seen: np.ndarray) -> np.ndarray:
+        """Log evidence of lines for each label. A long line weighs more, with the logarithm of its length."""
+        total = sum(e[:, seen[:, j]] for j, e in enumerate(self.emit)).T
+        return total * TEMPER * (1 + np.log2(np.maximum(seen[:, -1] / 64, 1)))[:, None]
 
-    def paths(self, seen: list[list[int]]) -> list[np.ndarray]:
-        """Most likely states of each sequence. Sequences are sorted by length, so that a step only touches those still running."""
-        order = sorted(range(len(seen)), key=lambda i: -len(seen[i]))
-        sizes = np.array([len(seen[i]) for i in order], np.int64)
+    def paths(self, seen: list[np.ndarray], changes: bool = True) -> list[np.ndarray]:
+        """Most likely states of each sequence. Sequences are sorted by length, so that a step only touches those still running.
+        Without ``changes`` every line is judged by itself."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seen)
-        if not len(sizes) or not sizes[0]:
+        if not any(len(s) for s in seen):
             return out
-        # memory: groups of at most about a million cells
+        whole = self.evidence(np.concatenate([s for s in seen if len(s)]))
+        at, own = 0, []
+        for s in seen:
+            own.append(whole[at : at + len(s)])
+            at += len(s)
+        if not changes:
+            return [(e + self.start).argmax(1) if len(e) else o for e, o in zip(own, out)]
+        order = sorted((i for i in range(len(seen)) if len(seen[i])), key=lambda i: -len(seen[i]))
         at = 0
-        while at < len(order) and sizes[at]:
-            steps = int(sizes[at])
-            group = order[at : at + max(1, 1_000_000 // steps)]
-            group = [i for i in group if seen[i]]
+        while at < len(order):
+            steps = len(seen[order[at]])
+            group = order[at : at + max(1, 1_000_000 // steps)]  # memory: about a million cells at once
             n = np.array([len(seen[i]) for i in group])
-            grid = np.zeros((len(group), steps), np.int64)
+            grid = np.zeros((len(group), steps, 4))
             for r, i in enumerate(group):
-                grid[r, : n[r]] = seen[i]
-            score = self.start + self.emit[:, grid[:, 0]].T
+                grid[r, : n[r]] = own[i]
+            score = self.start + grid[:, 0]
             back = np.zeros((len(group), steps, 4), np.int8)
             for t in range(1, steps):
                 live = int(np.searchsorted(-n, -t, side="left"))  # sequences longer than t
                 step = score[:live, :, None] + self.change[None]
                 best = step.argmax(1)
                 back[:live, t] = best
-                score[:live] = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + self.emit[:, grid[:live, t]].T
+                score[:live] = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + grid[:live, t]
             state = score.argmax(1)
             path = np.zeros((len(group), steps), np.int64)
             for t in range(steps - 1, -1, -1):
@@ -165,22 +179,34 @@ class LineHMM:
             at += len(group)
         return out
 
-    def learn(self, seen: list[list[int]], labels: list[int], rounds: int = 3) -> LineHMM:
-        """Viterbi training: states of the labelled pages' lines with the page's label favoured, less in each round and not at all
-        in the last, so that wrong labels wash out; then counts over pseudo-counts."""
-        prior, model = LineHMM.begin(), self
+    def counted(self, seen: list[np.ndarray], paths: list[np.ndarray], weight: float = 30.0) -> LineHMM:
+        """Potentials counted on lines with states, over the starting ones as pseudo-counts. Every page counts for its lines' square root."""
+        prior = LineHMM.begin()
+        start, change = np.exp(prior.start) * 8, np.exp(prior.change) * 100
+        emit = [np.exp(e) * weight for e in prior.emit]
+        for s, path in zip(seen, paths):
+            if len(s):
+                share = len(s) ** -0.5
+                start[path[0]] += 1
+                np.add.at(change, (path[:-1], path[1:]), share)
+                for j, e in enumerate(emit):
+                    np.add.at(e, (path, s[:, j]), share)
+        return LineHMM(np.log(start / start.sum()), np.log(change / change.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit], len(seen))
+
+    def learn(self, seen: list[np.ndarray], labels: list[int], rounds: int = 3) -> LineHMM:
+        """States of the labelled pages' lines are the page's label at first; then the most likely paths, with the label favoured,
+        less in each round and not at all in the last, so that wrong labels wash out."""
+        model = self
         for step in range(rounds):
-            start, change, emit = np.exp(prior.start) * 8, np.exp(prior.change) * 100, np.exp(prior.emit) * 100
+            paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seen)
             for label in range(4):
-                own = [s for s, x in zip(seen, labels) if x == label and s]
                 lift = np.zeros((4, 1))
-                lift[label] = 1.0 - step / max(rounds - 1, 1)
-                lean = LineHMM(model.start, model.change, model.emit + lift)
-                for s, path in zip(own, lean.paths(own)):
-                    start[path[0]] += 1
-                    np.add.at(change, (path[:-1], path[1:]), 1)
-                    np.add.at(emit, (path, np.asarray(s)), 1)
-            model = LineHMM(np.log(start / start.sum()), np.log(change / change.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)), len(seen))
+                lift[label] = 3.0 * (1.0 - step / max(rounds - 1, 1)) / len(NAMES)
+                own = [i for i, x in enumerate(labels) if x == label]
+                lean = LineHMM(model.start, model.change, [e + lift for e in model.emit])
+                for i, path in zip(own, lean.paths([seen[i] for i in own])):
+                    paths[i] = path
+            model = self.counted(seen, paths)
         return model
 
 
@@ -197,14 +223,13 @@ def fit(model: TreeModel, rows: list) -> LineHMM:
 class Prose:
     """Statistics and label shares of bodies, many at once."""
 
-    def __init__(self, hmm: LineHMM) -> None:
-        self.hmm = hmm
+    def __init__(self, hmm: LineHMM, changes: bool = True) -> None:
+        self.hmm, self.changes = hmm, changes
 
     def __call__(self, bodies: list[list[tuple[int, str, str]]]) -> list[dict[str, float]]:
         judged = [sequence(body) for body in bodies]
         out = []
-        for (texts, lines, _, starts), states in zip(judged, self.hmm.paths([x[2] for x in judged])):
-            path = states[starts] if starts else states
+        for (texts, lines, _), path in zip(judged, self.hmm.paths([x[2] for x in judged], self.changes)):
             size = np.array([f["chars"] for f in lines], float)
             total = {k: sum(f[k] for f in lines) for k in ("chars", "words", "letters", "digits", "marks", "common")}
             chars, words = max(total["chars"], 1), max(total["words"], 1)
@@ -223,7 +248,6 @@ NOT_PROSE = 0.65
 
 def page_quality(docs: DataFrame, model: TreeModel, hmm: LineHMM) -> DataFrame:
     """One row of statistics and label shares per current page. Empty pages have zeros."""
-    pages = current_pages(docs, "url", "title", "content_markdown").select("id", host(F.col("url")).alias("site"), "title", "content_markdown")
 
     def make():
         find, prose = BodyFinder(model), Prose(hmm)
@@ -234,27 +258,22 @@ def page_quality(docs: DataFrame, model: TreeModel, hmm: LineHMM) -> DataFrame:
 
         return work
 
-    return map_rows(pages, make, "id string, lines int, words int, mean_word double, mark_ratio double, digit_ratio double, end_ratio double, common_ratio double, prose double, list double, table double, junk double")
+    return map_rows(page_texts(docs), make, "id string, lines int, words int, mean_word double, mark_ratio double, digit_ratio double, end_ratio double, common_ratio double, prose double, list double, table double, junk double")
 
 
-def not_prose_candidates(docs: DataFrame, model: TreeModel, hmm: LineHMM) -> DataFrame:
-    """Current pages whose body is mostly list, table or junk and no spam, with what residue.decide needs."""
-    pages = current_pages(docs, "url", "title", "content_markdown").select("id", host(F.col("url")).alias("site"), "title", "content_markdown")
+def not_prose_candidates(docs: DataFrame, model: TreeModel, hmm: LineHMM, shapes: ShapeModel, messages: Words) -> DataFrame:
+    """Current pages with whether their body is mostly list, table or junk, and with what spam.spam_of and residue.decide need, from one pass:
+    messages and shapes are counted over all pages."""
 
     def make():
-        find, prose, judge = BodyFinder(model), Prose(hmm), Judge()
+        find, prose, judge, shape = BodyFinder(model), Prose(hmm), Judge(messages), Shaper(shapes)
 
         def work(b):
             bodies = [body_lines(*f) for f in find(b["content_markdown"], b["site"], b["title"])[0]]
-            rows = []
-            for i, s, t, body, q in zip(b["id"], b["site"], b["title"], bodies, prose(bodies)):
-                bad = q["lines"] > 0 and 1 - q["prose"] >= NOT_PROSE and not spam_kind(body)[0]
-                # pages under weak rules are needed too: their messages are counted over all pages
-                row = candidate(judge, i, s, t, body)
-                if bad or row and any(x["rule"] == 1 for x in row["segments"]):
-                    rows.append((row or {"id": i, "site": s or "", "title_hit": False, "words": 0, "segments": []}) | {"bad": bad})
-            return {k: [r[k] for r in rows] for k in ("id", "site", "title_hit", "words", "segments", "bad")}
+            rows = [candidate(judge, i, s, t, body) for i, s, t, body in zip(b["id"], b["site"], b["title"], bodies)]
+            out = {k: [r[k] for r in rows] for k in ("id", "site", "title_hit", "words", "blank", "segments")}
+            return out | shape(bodies, b["links"], b["site"]) | {"bad": [q["lines"] > 0 and 1 - q["prose"] >= NOT_PROSE for q in prose(bodies)]}
 
         return work
 
-    return map_rows(pages, make, CANDIDATES + ", bad boolean")
+    return map_rows(page_texts(docs, "links"), make, f"{CANDIDATES}, {SHAPES}, bad boolean")

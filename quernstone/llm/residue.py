@@ -1,24 +1,29 @@
 """Problem 3: unfilled templates, filler, failed output and error messages in place of content.
 
 The main body is cut into segments (lines, and sentences within them). In a segment numbers, dates,
-addresses and the name of the site are masked and the rest is hashed; equal hashes are counted
-over distinct sources. Phrase and placeholder rules then classify: a strong rule speaks for
-itself, a weak one only for a message that comes back on several sources. A page is out if
-such segments hold most of its words, or if its title is an unfilled placeholder.
+addresses and the name of the site are masked and the rest is hashed; equal hashes of all bodies are
+counted over distinct sources, with how much of their pages they hold. Only messages that recur
+widely are classified: by their words, by phrase rules as one piece of evidence among these, and by
+how alone they stand (a message that is all its pages have is no part of an article), with weights
+learned from a bounded sample of labelled pages. Unfilled placeholders and filler words differ from
+page to page, so they are told by rules of their own. A page is out if such segments hold most of its
+words, or if its title is an unfilled placeholder.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
+import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.boilerplate import BodyFinder, TreeModel, body_lines
-from quernstone.llm.common import current_pages, filler_words, host, map_rows
+from quernstone.llm.boilerplate import BodyFinder, TreeModel, WordFit, Words, body_lines, tokens_of
+from quernstone.llm.common import filler_words, map_rows, page_texts, site_name
 
-#: Parameters: sources on which a weakly worded message must recur; share of the words that residue must hold.
+#: Parameters: sources on which a message must recur to be judged; share of the words that residue must hold.
 SOURCES, SHARE = 3, 0.5
 
 # Ways to write a template's placeholder. The first group that is set is its name.
@@ -33,7 +38,7 @@ _FIELDS = frozenset("author category city company country customer date default
 # Titles left as a template has them.
 _BLANK_TITLES = re.compile(r"^(your (title|headline|heading|text) here|title here|sample (page|post)|new (page|post|document)|untitled( (page|document|post))?|heading \d+|page title|lorem ipsum.*|insert title.*|hello world!?)$")
 
-# Messages that speak for themselves, on a masked lower-cased segment. ~ stands for the site's name.
+# Usual wordings of failed output and of messages, on a masked lower-cased segment: one piece of evidence. ~ stands for the site's name.
 _STRONG = re.compile(
     r"\[object object\]|\bundefined undefined\b|\binvalid date\b.*|\bhello (null|undefined)\b|\b(null|undefined|nan) (items?|messages|results) in (null|undefined)\b|^(uncaught )?(typeerror|referenceerror|syntaxerror|valueerror|keyerror|attributeerror|nullpointerexception|runtimeerror)\b ?:?|cannot read propert(y|ies)\b|^(warning|fatal|fatal error|notice|parse error|critical): .*|could not connect to (the )?(database|server|host)\b|failed to open stream|^traceback \(most recent|stack trace:|^exception in thread|sql syntax|sqlstate\["
     r"|\btodo write\b|\bthis is (sample|placeholder|dummy) text\b|goes in this place\b|^click edit to change\b|^add a short description of your\b|replace it with your own\b|lorem ipsum"
@@ -60,23 +65,26 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 _INLINE = re.compile(r"`[^`\n]*`")
 _MASK = re.compile(r"<?(?:https?://|www\.)[^\s>)]+>?|[\w.+-]+@[\w-]+\.[\w.]+|\d+(?:[.,:/-]\d+)*")
+# Addresses within a machine: paths and files; and the names of things in program output.
+_PATH = re.compile(r"(?:/[\w.-]+)+/?|\b[\w-]+\.(?:[a-z]{2,4}|html)\b")
+# A reference in brackets at the end.
+_TRAIL = re.compile(r"[(\[][\w-]+[)\]]$")
+_NAMED = re.compile(r"\b(attribute|class|column|database|field|file|function|host|index|key|method|module|object|property|table|user|variable) ['\"`]?[\w.-]+['\"`]?")
 _SPACE = re.compile(r"\s+")
 
 
-def site_name(site: str | None) -> str:
-    """The label before the last one of a host, by which a site calls itself."""
-    parts = (site or "").split(".")
-    return parts[-2] if len(parts) > 1 else ""
-
-
 def mask(text: str, name: str = "") -> str:
-    """Lower-cased, single spaces; addresses become @, numbers and dates 0, the site's own name ~."""
+    """Lower-cased, single spaces; addresses, paths and files become @, numbers and dates 0, the site's own name ~, names of things in program output *."""
     text = _SPACE.sub(" ", text.strip()).lower()
     if name and name in text:
         text = text.replace(name, "~")
     if "://" in text or "@" in text or any(map(str.isdigit, text)):
         text = _MASK.sub(lambda m: "0" if m.group(0)[0].isdigit() else "@", text)
-    return text
+    if "/" in text or "." in text[:-1]:
+        text = _PATH.sub("@", text)
+    if text.endswith((")", "]")):
+        text = _TRAIL.sub("(*)", text)
+    return _NAMED.sub(r"\1 *", text)
 
 
 def placeholders(text: str) -> list[str]:
@@ -99,136 +107,191 @@ def title_unfilled(title: str | None, name: str = "") -> bool:
     return len(rest) <= 2 or any(n.strip().lower().replace(" ", "_") in _FIELDS for n in names)
 
 
+#: Bounds of the mean share of its page that a message holds, and the starting weights of their ranges and of the rules.
+ALONE = (0.05, 0.15, 0.3)
+_SEEDS = {"<0>": -2.5, "<1>": -1.2, "<2>": 0.8, "<3>": 2.5, "<rule>": 2.5, "<weak>": 0.8}
+
+
+def start_words() -> Words:
+    """Evidence before anything is learned."""
+    return Words(-0.8, dict(_SEEDS), {})
+
+
+def rule_of(masked: str, words: set[str] | list[str]) -> int:
+    """Phrase rules on a masked segment: 0 none, 1 weak, 2 strong."""
+    if _HINTS.isdisjoint(words):
+        return 0
+    plain = masked.strip("*_#>-• ")
+    return 2 if _STRONG.search(plain) or _MESSAGE.search(plain) else 1 if _WEAK.search(plain) else 0
+
+
+def unfilled(part: str, words: list[str]) -> bool:
+    """A segment of unfilled placeholders or of filler words."""
+    held = placeholders(part)
+    return bool(held) and len(words) <= 25 * len(held) or len(words) >= 3 and filler_words(words) * 10 >= 6 * len(words)
+
+
+def segments_of(body: list[tuple[int, str, str]], name: str) -> list[tuple[str, list[str], bool]]:
+    """(masked text, words, unfilled) of the segments of a body outside code. Headings count only if nothing else is there; references beside a message do not count."""
+    out, heads = [], []
+    for _, sym, line in body:
+        if sym == "code":
+            continue
+        if "`" in line:
+            line = _INLINE.sub(" ", line)
+        if sym == "heading":
+            heads.append(line.lstrip("# "))
+            continue
+        for part in _SENTENCE.split(line.strip()) if len(line) > 40 else (line,):
+            if words := _WORD.findall(part.lower()):
+                masked = mask(part, name)
+                if len(words) > 4 or not _NEUTRAL.match(masked):
+                    out.append((masked, words, unfilled(part, words)))
+    return out or [(mask(x, name), w, unfilled(x, w)) for x in heads if (w := _WORD.findall(x.lower()))]
+
+
 class Judge:
-    """Rule of a segment: 0 none, 1 weak, 2 strong. Masked segments met before are remembered, within a bound."""
+    """Evidence of masked segments, without how alone they stand. Segments met before are remembered, within a bound."""
 
     LIMIT = 100_000
 
-    def __init__(self) -> None:
-        self.met: dict[str, int] = {}
+    def __init__(self, words: Words | None = None) -> None:
+        self.words = words or start_words()
+        self.met: dict[str, float] = {}
 
-    def rule(self, masked: str) -> int:
+    def score(self, masked: str, words: list[str]) -> float:
         found = self.met.get(masked)
         if found is None:
-            plain = masked.strip("*_#>-• ")
-            found = 2 if _STRONG.search(plain) or _MESSAGE.search(plain) else 1 if _WEAK.search(plain) else 0
-            if len(masked) <= 400:
+            found = self.words(evidence(masked, words))
+            if len(masked) <= 200:
                 if len(self.met) > self.LIMIT:
                     self.met.clear()
                 self.met[masked] = found
         return found
 
-    def segments(self, body: list[tuple[int, str, str]], name: str) -> tuple[int, list[tuple[int, int, int]]]:
-        """Words of the body, and (hash, words, rule) of each segment under a rule. Headings count only if nothing else is there."""
-        total, out, heads = 0, [], []
-        for _, sym, line in body:
-            if sym == "code":
-                continue
-            if "`" in line:
-                line = _INLINE.sub(" ", line)
-            if sym == "heading":
-                heads.append(line)
-                continue
-            for part in _SENTENCE.split(line.strip()) if len(line) > 40 else (line,):
-                words = _WORD.findall(part.lower())
-                if not words:
-                    continue
-                if len(words) <= 4 and _NEUTRAL.match(mask(part, name)):
-                    continue
-                total += len(words)
-                held = placeholders(part)
-                if held and len(words) <= 25 * len(held):
-                    rule = 2
-                elif len(words) >= 3 and filler_words(words) * 10 >= 6 * len(words):
-                    rule = 2
-                else:
-                    rule = 0 if _HINTS.isdisjoint(words) else self.rule(mask(part, name))
-                if rule:
-                    out.append((xxhash.xxh64_intdigest(mask(part, name)) - (1 << 63), len(words), rule))
-        if not total:
-            for line in heads:
-                masked = mask(line.lstrip("# "), name)
-                words = len(_WORD.findall(line))
-                total += words
-                if rule := self.rule(masked):
-                    out.append((xxhash.xxh64_intdigest(masked) - (1 << 63), words, rule))
-        return total, out
-
-
-CANDIDATES = "id string, site string, title_hit boolean, words int, segments array<struct<hash:bigint,words:int,rule:int>>"
-
-
-def candidate(judge: Judge, page_id: str, site: str | None, title: str | None, body) -> dict | None:
-    """A page's row of CANDIDATES, or None if nothing on it is under a rule."""
+
+def evidence(masked: str, words: list[str]) -> list[str]:
+    rule = rule_of(masked, words)
+    return [*tokens_of(masked), *(("<rule>",) if rule == 2 else ("<weak>",) if rule else ())]
+
+
+def alone_range(share: float) -> int:
+    return sum(share >= x for x in ALONE)
+
+
+def fit(tree: TreeModel, rows: list, steps: int = 120) -> Words:
+    """Evidence of messages from the labelled pages (see boilerplate.labelled_pages): of the segments on two of their sources or more, how
+    many of their pages are labelled as errors. Without any the starting weights stand."""
+    start = start_words()
+    if not rows:
+        return start
+    found = BodyFinder(tree)([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])[0]
+    met: dict[str, list] = {}
+    for r, f in zip(rows, found):
+        own = segments_of(body_lines(*f), site_name(r.site))
+        total = sum(len(w) for _, w, _ in own)
+        share: dict[str, float] = defaultdict(float)
+        for masked, words, blank in own:
+            if not blank:
+                share[masked] += len(words) / total
+                met.setdefault(masked, [words, set(), 0, 0, 0.0])
+        for masked, x in share.items():
+            seen = met[masked]
+            seen[1].add(r.site or "")
+            seen[2] += 1
+            seen[3] += r.kind == "error"
+            seen[4] += x
+    messages = [(m, *x) for m, x in met.items() if len(x[1]) >= 2]
+    if not messages:
+        return start
+    lines = [[*evidence(m, w), f"<{alone_range(share / n)}>"] for m, w, _, n, _, share in messages]
+    learned = WordFit(lines, np.array([float(n) ** 0.5 for _, _, _, n, _, _ in messages]), least=2, seeds=start)
+    learned.move(np.array([e / n for _, _, _, n, e, _ in messages]), steps)
+    learned.shift = 0.0  # nothing else holds how many messages are residue
+    return learned.words()
+
+
+CANDIDATES = "id string, site string, title_hit boolean, words int, blank int, segments array<struct<hash:bigint,words:int,score:float>>"
+
+
+def candidate(judge: Judge, page_id: str, site: str | None, title: str | None, body) -> dict:
+    """A page's row of CANDIDATES: each distinct message of its body once, with all its words there."""
     name = site_name(site)
-    total, segments = judge.segments(body, name)
-    hit = title_unfilled(title, name)
-    if not hit and not segments:
-        return None
-    return {"id": page_id, "site": site or "", "title_hit": hit, "words": total, "segments": [{"hash": h, "words": n, "rule": r} for h, n, r in segments]}
+    total, blank, held = 0, 0, {}
+    for masked, words, empty in segments_of(body, name):
+        total += len(words)
+        if empty:
+            blank += len(words)
+        else:
+            own = held.get(masked)
+            held[masked] = (len(words) + (own[0] if own else 0), own[1] if own else judge.score(masked, words))
+    segments = [{"hash": xxhash.xxh64_intdigest(m) - (1 << 63), "words": n, "score": z} for m, (n, z) in held.items()]
+    return {"id": page_id, "site": site or "", "title_hit": title_unfilled(title, name), "words": total, "blank": blank, "segments": segments}
+
+
+def _alone_weight(words: Words, share: Column) -> Column:
+    weight = [F.lit(words.one[f"<{k}>"]) for k in range(len(ALONE) + 1)]
+    out = weight[0]
+    for bound, w in zip(ALONE, weight[1:]):
+        out = F.when(share >= bound, w).otherwise(out)
+    return out
+
+
+def messages_of(parts: DataFrame, words: Words, sources: int, *keys: str) -> DataFrame:
+    """(keys, sources, pages, alone, residue) of the messages on at least so many sources. ``parts``: rows of keys, site, words, n and score.
+
+    Counts are taken by (message, source) first, so that a message on a third of all pages is no hot group."""
+    per = parts.groupBy(*keys, "site").agg(F.count("*").alias("pages"), F.sum(F.col("n") / F.greatest("words", F.lit(1))).alias("alone"), F.max("score").alias("score"))
+    whole = per.groupBy(*keys).agg(F.count("*").alias("sources"), F.sum("pages").alias("pages"), F.sum("alone").alias("alone"), F.max("score").alias("score")).where(F.col("sources") >= sources)
+    alone = F.col("alone") / F.col("pages")
+    return whole.select(*keys, "sources", "pages", alone.alias("alone"), (F.col("score") + _alone_weight(words, alone) >= 0).alias("residue"))
 
 
-def decide(candidates: DataFrame) -> DataFrame:
+def decide(candidates: DataFrame, words: Words, sources: int = SOURCES, share: float = SHARE) -> DataFrame:
     """(id, title_hit, share) of the pages to leave out. ``candidates`` is read twice: give it written or checkpointed."""
-    parts = candidates.select("id", "site", "words", F.explode("segments").alias("s")).select("id", "site", "words", "s.*", F.col("s.words").alias("n"))
-    # distinct (message, source) first, so that a message on a third of all pages is no hot group
-    known = parts.where("rule = 1").groupBy("hash", "site").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("sources")).where(F.col("sources") >= SOURCES)
-    strong = parts.where("rule = 2").select("id", "n")
-    weak = parts.where("rule = 1").join(known, "hash").select("id", "n")
-    held = strong.unionByName(weak).groupBy("id").agg(F.sum("n").alias("held"))
-    share = F.coalesce(F.col("held") / F.greatest("words", F.lit(1)), F.lit(0.0))
-    judged = candidates.select("id", "title_hit", "words").join(held, "id", "left").select("id", "title_hit", share.alias("share"))
-    return judged.where(F.col("title_hit") | (F.col("share") >= SHARE))
+    parts = candidates.select("id", "site", "words", F.explode("segments").alias("s")).select("id", "site", "words", F.col("s.hash").alias("hash"), F.col("s.words").alias("n"), F.col("s.score").alias("score"))
+    known = messages_of(parts, words, sources, "hash").where("residue").select("hash")
+    held = parts.select("id", "hash", "n").join(known, "hash").groupBy("id").agg(F.sum("n").alias("held"))
+    part = (F.coalesce("held", F.lit(0)) + F.col("blank")) / F.greatest("words", F.lit(1))
+    judged = candidates.select("id", "title_hit", "words", "blank").join(held, "id", "left").select("id", "title_hit", part.alias("share"))
+    return judged.where(F.col("title_hit") | (F.col("share") >= share))
 
 
-def residue_candidates(docs: DataFrame, model: TreeModel) -> DataFrame:
-    """CANDIDATES of the current pages. Null or empty texts give no row unless the title does."""
-    pages = current_pages(docs, "url", "title", "content_markdown").select("id", host(F.col("url")).alias("site"), "title", "content_markdown")
+def residue_candidates(docs: DataFrame, model: TreeModel, words: Words) -> DataFrame:
+    """CANDIDATES of the current pages. Null or empty texts have no segments."""
 
     def make():
-        find, judge = BodyFinder(model), Judge()
+        find, judge = BodyFinder(model), Judge(words)
 
         def work(b):
-            rows = [r for i, s, t, f in zip(b["id"], b["site"], b["title"], find(b["content_markdown"], b["site"], b["title"])[0]) if (r := candidate(judge, i, s, t, body_lines(*f)))]
-            return {k: [r[k] for r in rows] for k in ("id", "site", "title_hit", "words", "segments")}
+            rows = [candidate(judge, i, s, t, body_lines(*f)) for i, s, t, f in zip(b["id"], b["site"], b["title"], find(b["content_markdown"], b["site"], b["title"])[0])]
+            return {k: [r[k] for r in rows] for k in ("id", "site", "title_hit", "words", "blank", "segments")}
 
         return work
 
-    return map_rows(pages, make, CANDIDATES)
+    return map_rows(page_texts(docs), make, CANDIDATES)
 
 
-def recurring_messages(docs: DataFrame, model: TreeModel, sources: int = SOURCES) -> DataFrame:
-    """(message, pages, sources, rule) of all masked segments of main bodies, whatever their rule, that stand on at least so many
+def recurring_messages(docs: DataFrame, model: TreeModel, words: Words, sources: int = SOURCES) -> DataFrame:
+    """(message, sources, pages, alone, residue) of all masked segments of main bodies, whatever they are, that stand on at least so many
     sources: the classified messages of the whole crawl. Segments of one page count once; pages without a host share one source."""
-    pages = current_pages(docs, "url", "title", "content_markdown").select("id", host(F.col("url")).alias("site"), "title", "content_markdown")
 
     def make():
-        find, judge = BodyFinder(model), Judge()
+        find, judge = BodyFinder(model), Judge(words)
 
         def work(b):
-            out = {"site": [], "message": [], "rule": []}
+            out = {"site": [], "message": [], "words": [], "n": [], "score": []}
             for site, found in zip(b["site"], find(b["content_markdown"], b["site"], b["title"])[0]):
-                name, seen = site_name(site), set()
-                for _, sym, line in body_lines(*found):
-                    if sym in ("code", "heading"):
-                        continue
-                    text = line.strip()
-                    if "`" in text:
-                        text = _INLINE.sub(" ", text)
-                    for part in _SENTENCE.split(text):
-                        words = _WORD.findall(part.lower())
-                        masked = mask(part, name) if words else ""
-                        if masked and masked not in seen:
-                            seen.add(masked)
-                            out["site"].append(site or "")
-                            out["message"].append(masked)
-                            out["rule"].append(2 if placeholders(part) else 0 if _HINTS.isdisjoint(words) else judge.rule(masked))
+                own: dict[str, list] = {}
+                total = 0
+                for masked, w, _ in segments_of(body_lines(*found), site_name(site)):
+                    total += len(w)
+                    own.setdefault(masked, [0, judge.score(masked, w)])[0] += len(w)
+                for masked, (n, score) in own.items():
+                    for k, v in zip(out, (site or "", masked, total, n, score)):
+                        out[k].append(v)
             return out
 
         return work
 
-    rows = map_rows(pages, make, "site string, message string, rule int")
-    # by (hash, source) first: a message of a third of all pages is then one row a source
-    per = rows.groupBy(F.xxhash64("message").alias("hash"), "message", "site").agg(F.count("*").alias("pages"), F.max("rule").alias("rule"))
-    whole = per.groupBy("hash", "message").agg(F.sum("pages").alias("pages"), F.count("*").alias("sources"), F.max("rule").alias("rule"))
-    return whole.where(F.col("sources") >= sources).select("message", "pages", "sources", "rule")
+    return messages_of(map_rows(page_texts(docs), make, "site string, message string, words int, n int, score double"), words, sources, "message")

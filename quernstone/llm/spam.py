@@ -1,118 +1,275 @@
 """Problem 1: pages of stuffed keywords, link lists or product tags, by the shapes of their lines.
 
-Each line of the main body (headings and code aside) is reduced to a shape: how full it is of
-links, of tags and of the page's own few key words, how many words it has and in which capitals,
-which separators it uses and whether it ends as a sentence does. Lines are grouped by shape; a
-page is spam if few shapes that are not those of sentences hold most of its text.
+Each line of the main body (headings and code aside) is reduced to a shape: links and what stands
+beside them, tags, how much its words echo the rest of the page, number of words, capitals,
+separators, how it ends, and how many outgoing links the page has for its lines. A shape is one
+of ``CODES`` numbers, so a table of all shapes is bounded whatever the crawl is.
+
+Which shapes are those of sentences is learned: a logistic model over the parts of a shape, from a
+bounded sample of labelled pages, gives every shape a first score; then shapes are grouped over
+the whole crawl, and each is judged by the company it keeps: the share of spam on all the pages it is
+on. A page is spam if shapes that are not those of sentences hold most of its text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.boilerplate import BodyFinder, TreeModel, body_lines
-from quernstone.llm.common import COMMON, FILLER_STEMS, current_pages, host, map_rows
+from quernstone.llm.common import COMMON, map_rows, page_texts
+from quernstone.session import written
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LINK = re.compile(r"!?\[([^\[\]\n]{0,400})\]\((https?://[^)\s]*)[^)\n]{0,400}\)|<?(https?://[^\s>)]+)>?")
-_LINK_HOST = re.compile(r"https?://(?:www\.)?([^/?#:\s]+)")
+# Scripts written without spaces: a run of them is cut into pairs of characters.
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
+_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^)\s]*[^)\n]*\)|<?(https?://[^\s>)]+)>?")
 _TAG = re.compile(r"(?<![^\s,;|])#[^\W_]\w*")
-_SEPS = (("|", " | "), (",", ", "), (">", ">>"), ("*", "★"), ("%", "100%"), ("/", " / "))
+_MARKS = re.compile(r" \| |>>|[★»•]")
 
-#: Parameters: share of the body's characters that spam shapes must hold, in so many shapes at most.
-SHARE, SHAPES = 0.5, 8
-#: A word is a key word of a page if it comes so often, makes up this share of the words, and is among so many most frequent ones.
-KEY_COUNT, KEY_SHARE, KEYS = 5, 0.04, 12
+#: Sizes of the parts of a shape: links, tags, echo, words, capitals, separators, sentence end, outgoing links of the page.
+PARTS = (5, 3, 6, 6, 3, 5, 2, 4)
+CODES = int(np.prod(PARTS))
+ECHO = (0.008, 0.02, 0.04, 0.07, 0.12)
+#: Parameters: share of the body's characters that spam shapes must hold; characters of a shape's first score beside those of the crawl.
+SHARE, PRIOR_CHARS = 0.5, 2000
+#: Pages of a kind below which the starting weights count for more than the labels.
+FEW = 10
 #: A body with fewer words and links than this is not judged.
 LEAST = 5
 
 
-class Shape(tuple):
-    """(links, tags, keys, words, capitals, separators, sentence): what a line is reduced to."""
+def _bucket(x: float, bounds: tuple) -> int:
+    return sum(x >= b for b in bounds)
 
-    __slots__ = ()
 
-    @property
-    def kind(self) -> str:
-        links, tags, keys = self[:3]
-        return "links" if links else "tags" if tags else "keys" if keys else ""
+def words_of(text: str) -> list[str]:
+    """Lower-cased words; where a script has no spaces, pairs of characters."""
+    words = _WORD.findall(text.lower())
+    if not text.isascii() and _UNSPACED.search(text):
+        words = [p for w in words for p in ([w[i : i + 2] for i in range(max(len(w) - 1, 1))] if _UNSPACED.match(w) else [w])]
+    return words
 
 
-def shapes_of(body: list[tuple[int, str, str]]) -> tuple[dict[Shape, int], int, int, set[str]]:
-    """Characters by shape, lines judged, links and their hosts."""
-    lines = [line for _, sym, line in body if sym not in ("heading", "code")]
-    parsed, count, total, hosts, n_links = [], Counter(), 0, set(), 0
-    for line in lines:
+def shapes_of(body: list[tuple[int, str, str]], outgoing: int = 0) -> tuple[dict[int, int], int]:
+    """Characters by shape code, and the words and links of the body. ``outgoing``: links of the page to other hosts."""
+    parsed, count, total, n_links = [], Counter(), 0, 0
+    for _, sym, line in body:
+        if sym in ("heading", "code"):
+            continue
         text, links = line, []
-        if "://" in line:
+        if "](" in line or "://" in line:
             links = _LINK.findall(line)
-            text = _LINK.sub(lambda m: m.group(1) or "", line)
-            hosts.update(h.group(1).lower() for a in links if (h := _LINK_HOST.match(a[1] or a[2])))
+            text = _LINK.sub(" ", line)
             n_links += len(links)
+        anchors = " ".join(a for a, _ in links)
         tags = _TAG.findall(text) if "#" in text else []
-        words = _WORD.findall(text)
-        low = [w.lower() for w in words]
-        total += len(low)
-        count.update(low)
-        parsed.append((line, text, links, tags, words, low))
-    keys = {w for w, n in count.most_common(KEYS) if n >= KEY_COUNT and n >= KEY_SHARE * total and len(w) >= 3 and w not in COMMON and w[:4] not in FILLER_STEMS}
-    strongest = max((count[w] for w in keys), default=0)
-    held: dict[Shape, int] = defaultdict(int)
-    for line, text, links, tags, words, low in parsed:
-        n = len(low)
-        bare = text
-        anchor = sum(len(a[0]) for a in links)
-        # text beside the links: a link that is described is no spam
-        beside = len(text.strip()) - anchor
-        link_full = bool(links) and beside <= 18 * len(links) + 12 and n <= 9 * len(links)
-        tag_full = len(tags) >= 2 and sum(map(len, tags)) * 2 >= len(text.strip())
-        dense = sum(w in keys for w in low)
-        key_full = bool(keys) and n >= 3 and (dense * 5 >= 2 * n or n >= 8 and dense * 4 >= n) and strongest * 8 >= total and strongest >= 8
-        upper = sum(w[0].isupper() for w in words)
-        capitals = 0 if not upper else 2 if upper * 2 > n else 1
-        seps = "".join(s for s, mark in _SEPS if mark in bare)
-        ends = text.rstrip()[-1:] in (".", "!", "?")
-        held[Shape((link_full, tag_full, key_full, min(n.bit_length(), 6), capitals, seps, ends))] += len(line)
-    return held, total, n_links, hosts
-
-
-def spam_kind(body: list[tuple[int, str, str]]) -> tuple[str, float]:
-    """"links", "tags", "keys" or "" for a main body, and the share of its text in the shapes that say so."""
-    held, words, n_links, hosts = shapes_of(body)
-    whole = sum(held.values())
-    if whole == 0 or words + n_links < LEAST:
-        return "", 0.0
-    spam = sorted(((n, s) for s, n in held.items() if s.kind and (s.kind != "links" or n_links >= 4 and len(hosts) >= 3)), key=lambda x: -x[0])[:SHAPES]
-    share = sum(n for n, _ in spam) / whole
-    if share < SHARE:
-        return "", share
-    by = Counter()
-    for n, s in spam:
-        by[s.kind] += n
-    return by.most_common(1)[0][0], share
-
-
-def spam_pages(docs: DataFrame, model: TreeModel) -> DataFrame:
-    """(id, kind, share) of the current pages whose main body is spam. Pages without content are none."""
-    pages = current_pages(docs, "url", "title", "content_markdown").select("id", host(F.col("url")).alias("site"), "title", "content_markdown")
+        beside, inside = words_of(text), words_of(anchors) if anchors else []
+        total += len(beside) + len(inside)
+        count.update(beside)
+        count.update(inside)
+        parsed.append((line, text, links, tags, beside, inside))
+    held: dict[int, int] = defaultdict(int)
+    load = _bucket(outgoing / max(len(parsed), 1), (0.01, 0.5, 0.9))
+    scale = 1 / max(total, 1)
+    for line, text, links, tags, beside, inside in parsed:
+        words = beside + inside
+        n = len(words)
+        link = 0
+        if links:
+            link = 4 if not inside and len(beside) < 3 * len(links) else 3 - _bucket(len(beside) / len(links), (3, 8))
+        tag = 0 if not tags else 2 if sum(map(len, tags)) * 2 >= len(text.strip()) else 1
+        # how often a word of the line is met again on the page, per word of the page: prose says most of its words once or twice
+        own = [count[w] - 1 for w in words if w not in COMMON]
+        echo = _bucket(sum(own) / len(own) * scale, ECHO) if own else 0
+        upper = sum(map(str.isupper, map(lambda w: w[:1], _WORD.findall(text)))) if beside else 0
+        capitals = 0 if not upper else 2 if upper * 2 > len(beside) else 1
+        seps = 1 if _MARKS.search(text) else 2 if text.count(",") * 4 >= max(n, 1) and "," in text else 3 if text.count("/") + text.count(";") >= 2 else 4 if "!" in text or "%" in text else 0
+        ends = text.rstrip()[-1:] in (".", "!", "?", "。", "！", "？")
+        code = 0
+        for size, x in zip(PARTS, (link, tag, echo, _bucket(n, (1, 3, 7, 16, 41)), capitals, seps, int(ends), load)):
+            code = code * size + x
+        held[code] += len(line)
+    return held, total + n_links
+
+
+def parts_of(codes: np.ndarray) -> np.ndarray:
+    out = []
+    for size in reversed(PARTS):
+        out.append(codes % size)
+        codes = codes // size
+    return np.stack(out[::-1], 1)
+
+
+_OFFSET = np.r_[0, np.cumsum(PARTS)]
+# Pairs of parts that tell more together: echo with length, with the end and with separators; links with outgoing links and with length.
+_PAIRS = ((2, 3), (2, 6), (2, 5), (0, 7), (0, 3))
+
+
+def _features(codes: np.ndarray) -> np.ndarray:
+    """Columns of the features of each code, one a part and one a pair."""
+    parts = parts_of(np.asarray(codes, np.int64))
+    cols = [_OFFSET[i] + parts[:, i] for i in range(len(PARTS))]
+    base = int(_OFFSET[-1])
+    for a, b in _PAIRS:
+        cols.append(base + parts[:, a] * PARTS[b] + parts[:, b])
+        base += PARTS[a] * PARTS[b]
+    return np.stack(cols, 1)
+
+
+N_FEATURES = int(_OFFSET[-1]) + sum(PARTS[a] * PARTS[b] for a, b in _PAIRS)
+
+
+@dataclass
+class ShapeModel:
+    """Log odds of a line of a shape to be spam: a weight for each part and pair of parts, and a base."""
+
+    weights: np.ndarray
+    base: float = -2.2
+    sample: int = 0
+
+    @classmethod
+    def start(cls) -> ShapeModel:
+        """Weights before anything is learned: links without words beside them, tags and echo speak for spam, a sentence's end against it."""
+        w = np.zeros(N_FEATURES)
+        w[_OFFSET[0] : _OFFSET[1]] = (0, -1.0, -1.0, 3.0, 4.5)
+        w[_OFFSET[1] : _OFFSET[2]] = (0, 0.3, 4.0)
+        w[_OFFSET[2] : _OFFSET[3]] = (-0.5, -0.3, 0.2, 1.6, 3.2, 3.6)
+        w[_OFFSET[3] : _OFFSET[4]] = (-1.0, -1.2, 0, 0.3, 0.6, 0.6)
+        w[_OFFSET[6] : _OFFSET[7]] = (0, -0.4)
+        w[_OFFSET[7] : _OFFSET[8]] = (0, 0, 0.1, 0.4)
+        return cls(w)
+
+    def chance(self, codes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.base + self.weights[_features(codes)].sum(1)))) if len(codes) else np.zeros(0)
+
+    def learn(self, pages: list[dict[int, int]], spam: list[bool], steps: int = 300, decay: float = 1.0) -> ShapeModel:
+        """Logistic regression over the lines of labelled pages, a line weighing its share of its page; drawn to the starting weights."""
+        weight: dict[tuple[int, bool], float] = defaultdict(float)
+        for held, y in zip(pages, spam):
+            whole = sum(held.values())
+            for code, n in held.items():
+                weight[code, y] += n / whole
+        if not weight:
+            return self
+        codes, y, v = np.array([c for c, _ in weight]), np.array([float(t) for _, t in weight]), np.array(list(weight.values()))
+        # both kinds of pages weigh the same, however rare spam is in the sample, unless it holds hardly any
+        v *= np.where(y > 0, (v[y == 0].sum() + FEW) / (v[y > 0].sum() + FEW), 1.0)
+        cols = _features(codes)
+        start, w, base = self.weights, self.weights.copy(), self.base
+        first, second = np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES + 1)
+        for step in range(1, steps + 1):
+            error = v * (1 / (1 + np.exp(-(base + w[cols].sum(1)))) - y)
+            slope = np.r_[np.bincount(cols.reshape(-1), np.repeat(error, cols.shape[1]), N_FEATURES) + decay * (w - start), error.sum() + decay * (base - self.base)]
+            first, second = 0.9 * first + 0.1 * slope, 0.98 * second + 0.02 * slope**2
+            move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-9)
+            w, base = w - move[:-1], base - float(move[-1])
+        return ShapeModel(w, base, len(pages))
+
+
+def foreign_links(links: list | None, site: str | None) -> int:
+    """Links of a page that lead to other hosts; without a host of its own all do."""
+    return sum(bool(x) and x[:4].lower() == "http" and (not site or f"{site}/" not in f"{x}/") for x in links or ())
+
+
+def fit(tree: TreeModel, rows: list) -> ShapeModel:
+    """Shapes of sentences and of spam, from the labelled pages (see boilerplate.labelled_pages); without any the starting weights stand."""
+    start = ShapeModel.start()
+    if not rows:
+        return start
+    found = BodyFinder(tree)([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])[0]
+    shapes = [shapes_of(body_lines(*f), foreign_links(r.links, r.site)) for f, r in zip(found, rows)]
+    judged = [(held, r.kind == "spam") for (held, n), r in zip(shapes, rows) if held and n >= LEAST]
+    return start.learn([h for h, _ in judged], [y for _, y in judged])
+
+
+SHAPES = "shapes array<struct<code:int,chars:int>>, first double"
+
+
+class Shaper:
+    """Columns of SHAPES for bodies. ``first``: share of spam by the first scores; null for a body that is not judged."""
+
+    def __init__(self, model: ShapeModel) -> None:
+        self.model = model
+        self.met: dict[int, float] = {}
+
+    def __call__(self, bodies: list, links: list, sites: list) -> dict[str, list]:
+        out: dict[str, list] = {"shapes": [], "first": []}
+        for body, own, site in zip(bodies, links, sites):
+            held, n = shapes_of(body, foreign_links(own, site))
+            whole = sum(held.values())
+            if not whole or n < LEAST:
+                out["shapes"].append([])
+                out["first"].append(None)
+                continue
+            new = [c for c in held if c not in self.met]
+            if new:
+                self.met.update(zip(new, self.model.chance(np.array(new)).tolist()))
+            out["shapes"].append([{"code": c, "chars": k} for c, k in held.items()])
+            out["first"].append(sum(self.met[c] * k for c, k in held.items()) / whole)
+        return out
+
+
+def page_shapes(docs: DataFrame, tree: TreeModel, model: ShapeModel) -> DataFrame:
+    """(id, SHAPES) of the current pages whose body can be judged."""
 
     def make():
-        find = BodyFinder(model)
+        find, shape = BodyFinder(tree), Shaper(model)
 
         def work(b):
-            out = {"id": [], "kind": [], "share": []}
-            for page_id, found in zip(b["id"], find(b["content_markdown"], b["site"], b["title"])[0]):
-                kind, share = spam_kind(body_lines(*found))
-                if kind:
-                    out["id"].append(page_id)
-                    out["kind"].append(kind)
-                    out["share"].append(share)
-            return out
+            bodies = [body_lines(*f) for f in find(b["content_markdown"], b["site"], b["title"])[0]]
+            out = {"id": b["id"], **shape(bodies, b["links"], b["site"])}
+            keep = [i for i, x in enumerate(out["shapes"]) if x]
+            return {k: [v[i] for i in keep] for k, v in out.items()}
 
         return work
 
-    return map_rows(pages, make, "id string, kind string, share double")
+    return map_rows(page_texts(docs, "links"), make, "id string, " + SHAPES)
+
+
+def shape_scores(pages: DataFrame, model: ShapeModel, prior: int = PRIOR_CHARS) -> DataFrame:
+    """(code, spam): how much of the text around a shape is spam over the whole crawl, drawn to the shape's first score. At most CODES rows.
+
+    Counts are summed before the shuffle, which holds at most CODES rows of each task."""
+    parts = pages.where("first is not null").select("first", F.explode("shapes").alias("s"))
+    sums = parts.groupBy(F.col("s.code").alias("code")).agg(F.sum(F.col("s.chars") * F.col("first")).alias("spam"), F.sum("s.chars").alias("chars"))
+    return sums.select("code", _drawn(model, prior).alias("spam"))
+
+
+def _drawn(model: ShapeModel, prior: int) -> Column:
+    """The sum of spam of a shape with ``prior`` characters of its first score, as an expression over the parts of its code."""
+    code, logit, place = F.col("code"), F.lit(model.base), []
+    for size in reversed(PARTS):
+        place.append(F.pmod(code, F.lit(size)).cast("int"))
+        code = F.floor(code / size).cast("int")
+    place = place[::-1]
+    weights = model.weights.tolist()
+    take = lambda a, b, i: F.element_at(F.array(*[F.lit(x) for x in weights[a:b]]), i + 1)
+    for i, p in enumerate(place):
+        logit = logit + take(int(_OFFSET[i]), int(_OFFSET[i + 1]), p)
+    base = int(_OFFSET[-1])
+    for a, b in _PAIRS:
+        logit = logit + take(base, base + PARTS[a] * PARTS[b], place[a] * PARTS[b] + place[b])
+        base += PARTS[a] * PARTS[b]
+    return (F.col("spam") + prior / (1 + F.exp(-logit))) / (F.col("chars") + prior)
+
+
+def spam_of(pages: DataFrame, model: ShapeModel, share: float = SHARE) -> DataFrame:
+    """(id, shapes, share) of the pages that shapes of spam dominate: how many such shapes there are, and their share of the text.
+
+    ``pages`` is read twice: give it written or checkpointed."""
+    scores = shape_scores(pages, model).where(F.col("spam") >= 0.5).select("code")
+    parts = pages.where("first is not null").select("id", F.aggregate("shapes", F.lit(0), lambda a, s: a + s["chars"]).alias("whole"), F.explode("shapes").alias("s")).select("id", "whole", F.col("s.code").alias("code"), F.col("s.chars").alias("chars"))
+    # at most CODES numbers: safe to broadcast at any size of the crawl
+    held = parts.join(F.broadcast(scores), "code").groupBy("id").agg(F.count("*").cast("int").alias("shapes"), (F.sum("chars") / F.first("whole")).alias("share"))
+    return held.where(F.col("share") >= share)
+
+
+def spam_pages(docs: DataFrame, tree: TreeModel, model: ShapeModel) -> DataFrame:
+    """spam_of the current pages. Pages without content are none."""
+    return spam_of(written(page_shapes(docs, tree, model)), model)
