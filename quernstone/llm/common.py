@@ -57,7 +57,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     """Run ``make()`` once per task and its result on each Arrow batch, as columns of Python lists in and out."""
     ship_package(df.sparkSession)
     out = schema(ddl)
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in out.fields])
+    arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -69,11 +69,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, out)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
+        return pa.list_(arrow_type(kind.elementType))
     if isinstance(kind, T.StructType):
-        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in kind.fields])
     simple = {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
     return simple[type(kind)]
 

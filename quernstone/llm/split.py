@@ -89,9 +89,11 @@ def cuts_of(data: bytes, lengths: np.ndarray, limit: int, overlap: int) -> tuple
 def pieces_of(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int, int]]:
     """(piece, tokens, tokens shared with the piece before, its first character's place in the text). A text within the limit is one piece.
 
-    Every piece is counted anew by itself; should one exceed the limit there (cutting can split a merge), the
-    text is cut again with a slightly lower one.
+    Every piece is counted anew by itself; should one exceed the limit there (cutting can split a merge), the text is cut again
+    with a slightly lower one. Where the overlap leaves no room to go lower, a piece that is still too long shares less with the one before.
     """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be below the limit")
     ids = enc.encode_ordinary(text)
     if len(ids) <= limit:
         return [(text, len(ids), 0, 0)]
@@ -103,17 +105,24 @@ def pieces_of(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> lis
     while True:
         cuts, offsets = cuts_of(data, lengths, aim, overlap)
         out, fits = [], True
+        last = aim <= overlap + 1
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             start = max(a - overlap, 0)
             while start > 0 and not whole[offsets[start]]:
                 start -= 1
             piece = data[offsets[start] : offsets[b]].decode()
             n = len(enc.encode_ordinary(piece))
+            while last and n > limit and start < a:
+                start += 1
+                while start < a and not whole[offsets[start]]:
+                    start += 1
+                piece = data[offsets[start] : offsets[b]].decode()
+                n = len(enc.encode_ordinary(piece))
             fits &= n <= limit
             out.append((piece, n, a - start, int(char_at[offsets[start]])))
-        if fits or aim <= overlap + 64:
+        if fits or last:
             return out
-        aim -= 16
+        aim = max(aim - 16, overlap + 1)
 
 
 PIECES = "doc_id bigint, piece int, text string, n_tokens int, shared int, start int, doc_tokens int"
