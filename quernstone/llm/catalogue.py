@@ -93,7 +93,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_texts(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.cut_pages(read(spark, d, "docs"), p6_lines(spark, d))
+    docs = read(spark, d, "docs")
+    return repeats.cut_pages(docs, p6_lines(spark, d), repeats.repeated_chunks(written(repeats.page_chunks(docs))))
 
 
 def p7_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +160,25 @@ SELECT doc_id, term, n, documents,
   round(ln((docs + 1) / (documents + 1)) + 1, 6) AS idf,
   round(CASE WHEN token_count > 0 THEN n / token_count * (ln((docs + 1) / (documents + 1)) + 1) END, 6) AS score
 FROM pairs JOIN terms USING (term), size""",
+    "p6_found": r"""
+WITH RECURSIVE cur AS (
+  SELECT id, nullif(regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', ''), '') AS site, string_split(content_markdown, chr(10)) AS ls
+  FROM docs WHERE id IS NOT NULL AND content_markdown IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(CAST(crawled_at AS TIMESTAMP), TIMESTAMP '0001-01-01') DESC) = 1),
+lines AS (SELECT id, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM cur WHERE site IS NOT NULL),
+marks AS (SELECT id, n, regexp_extract(line, '^ *(```|~~~)', 1) AS mark FROM lines WHERE regexp_matches(line, '^ *(```|~~~)')),
+fences AS (
+  SELECT id, min(n) AS a, arg_min(mark, n) AS mark, (SELECT min(n) FROM marks m2 WHERE m2.id = m1.id AND m2.mark = (SELECT arg_min(m3.mark, m3.n) FROM marks m3 WHERE m3.id = m1.id) AND m2.n > (SELECT min(m4.n) FROM marks m4 WHERE m4.id = m1.id)) AS b
+  FROM marks m1 GROUP BY id
+  UNION ALL
+  SELECT o.id, o.n, o.mark, (SELECT min(c.n) FROM marks c WHERE c.id = o.id AND c.mark = o.mark AND c.n > o.n)
+  FROM (SELECT f.id, min(m.n) AS n, arg_min(m.mark, m.n) AS mark FROM fences f JOIN marks m ON m.id = f.id AND m.n > f.b GROUP BY f.id) o),
+good AS (
+  SELECT l.id, l.site, l.n, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '\d+', '0', 'g') AS own FROM lines l
+  WHERE NOT starts_with(line, '#') AND len(regexp_extract_all(line, '\p{L}+')) >= 4
+    AND NOT EXISTS (SELECT 1 FROM fences f WHERE f.id = l.id AND l.n >= f.a AND l.n <= coalesce(f.b, 1000000000))),
+many AS (SELECT site, own FROM good WHERE NOT starts_with(own, '#') GROUP BY ALL HAVING count(DISTINCT id) >= 5)
+SELECT id, CAST(n AS INTEGER) AS line_no FROM good JOIN many USING (site, own)""",
     "p9_found": """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 iw AS (

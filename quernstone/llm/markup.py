@@ -264,6 +264,21 @@ def cut(parts: list[tuple[bool, str]], first: int, last: int) -> tuple[list[tupl
     return out, low, high
 
 
+_HEADING = re.compile(r"\s*(?:#{1,6}[ \t]|<h[1-6]\b|={2,6}[^=\n]|\\(?:sub)*section\*?\{)", re.I)
+
+
+def _with_heading(text: str, at: int) -> int:
+    """Start of a region with the headings right above it, whose own markup may outweigh their words."""
+    start = text.rfind("\n", 0, at) + 1
+    while start > 0:
+        above = text[:start].rstrip("\n \t")
+        line = above.rfind("\n") + 1
+        if not above or not _HEADING.match(above, line):
+            break
+        start = at = line
+    return at
+
+
 def cleaned(raw: str | None, weights: Weights) -> tuple[str, list[str], int, int, float]:
     """(clean text of the content region, kinds of foreign markup of the whole text, first and last line of the region, its score)."""
     parts = pieces(raw or "")
@@ -271,7 +286,7 @@ def cleaned(raw: str | None, weights: Weights) -> tuple[str, list[str], int, int
     first, last, score = best_region(tokens, weights)
     if score <= 0:
         return "", kinds, 0, 0, 0.0
-    region, low, high = cut(parts, first, last)
+    region, low, high = cut(parts, _with_heading(raw, first), last)
     return clean(region, kinds), kinds, low, high, score
 
 

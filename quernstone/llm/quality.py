@@ -104,8 +104,8 @@ def sequence(body: list[tuple[int, str, str]]) -> tuple[list[str], list[dict[str
 #: Chances of ranges before anything is learned, where they are not even: by label, statistic and range.
 _START = {
     "prose": {"common": (0.05, 0.15, 0.3, 0.3, 0.2), "words": (0.01, 0.03, 0.06, 0.3, 0.4, 0.2), "ends": (0.15, 0.85), "letters": (0.01, 0.04, 0.15, 0.3, 0.5), "fields": (0.94, 0.03, 0.02, 0.01), "numbers": (0.9, 0.08, 0.01, 0.01), "mixed": (0.9, 0.08, 0.01, 0.01), "broken": (0.85, 0.1, 0.04, 0.01)},
-    "list": {"common": (0.85, 0.06, 0.04, 0.03, 0.02), "words": (0.03, 0.55, 0.3, 0.1, 0.015, 0.005), "ends": (0.97, 0.03), "fields": (0.94, 0.03, 0.02, 0.01), "numbers": (0.9, 0.05, 0.03, 0.02), "mixed": (0.9, 0.06, 0.02, 0.02), "broken": (0.85, 0.1, 0.04, 0.01), "longest": (0.9, 0.08, 0.01, 0.01)},
-    "table": {"common": (0.85, 0.06, 0.04, 0.03, 0.02), "ends": (0.97, 0.03), "digits": (0.1, 0.2, 0.25, 0.25, 0.2), "fields": (0.15, 0.2, 0.35, 0.3), "numbers": (0.2, 0.15, 0.25, 0.4)},
+    "list": {"common": (0.85, 0.06, 0.04, 0.03, 0.02), "letters": (0.01, 0.03, 0.1, 0.26, 0.6), "marks": (0.6, 0.25, 0.1, 0.04, 0.01), "words": (0.03, 0.55, 0.3, 0.1, 0.015, 0.005), "ends": (0.97, 0.03), "fields": (0.94, 0.03, 0.02, 0.01), "numbers": (0.9, 0.05, 0.03, 0.02), "mixed": (0.9, 0.06, 0.02, 0.02), "broken": (0.85, 0.1, 0.04, 0.01), "longest": (0.9, 0.08, 0.01, 0.01)},
+    "table": {"common": (0.85, 0.06, 0.04, 0.03, 0.02), "words": (0.15, 0.35, 0.25, 0.15, 0.07, 0.03), "longest": (0.88, 0.1, 0.01, 0.01), "broken": (0.85, 0.1, 0.04, 0.01), "mixed": (0.85, 0.1, 0.03, 0.02), "ends": (0.97, 0.03), "digits": (0.1, 0.2, 0.25, 0.25, 0.2), "fields": (0.1, 0.22, 0.36, 0.32), "numbers": (0.15, 0.15, 0.3, 0.4)},
     "junk": {"common": (0.8, 0.1, 0.06, 0.03, 0.01), "letters": (0.3, 0.25, 0.25, 0.15, 0.05), "fields": (0.8, 0.1, 0.06, 0.04), "mixed": (0.3, 0.15, 0.2, 0.35), "broken": (0.25, 0.15, 0.25, 0.35), "longest": (0.5, 0.15, 0.15, 0.2), "marks": (0.2, 0.15, 0.15, 0.25, 0.25)},
 }
 #: Parameter: what the evidence of one line is worth; the statistics are not independent of each other.
@@ -200,9 +200,13 @@ class LineHMM:
         for step in range(rounds):
             paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seen)
             for label in range(4):
+                own = [i for i, x in enumerate(labels) if x == label]
+                if not step:
+                    for i in own:
+                        paths[i] = np.full(len(seen[i]), label)
+                    continue
                 lift = np.zeros((4, 1))
                 lift[label] = 3.0 * (1.0 - step / max(rounds - 1, 1)) / len(NAMES)
-                own = [i for i, x in enumerate(labels) if x == label]
                 lean = LineHMM(model.start, model.change, [e + lift for e in model.emit])
                 for i, path in zip(own, lean.paths([seen[i] for i in own])):
                     paths[i] = path

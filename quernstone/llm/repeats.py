@@ -1,11 +1,13 @@
-"""Problem 6: lines that come back on page after page of one host, by content-defined chunks.
-
-Lines outside code are normalised and cut into chunks where a rolling hash over the last bytes
-meets a mask, so that equal text is cut alike wherever it stands; a line break always ends a chunk,
-as the answer is in lines. Documents are counted per (host, chunk). A line can only come back
-often if all its chunks do, so lines whose most telling chunk does not are out; what is left is
-counted exactly per (host, line). Chunk counts are taken over all documents, and pre-aggregated
-before the shuffle, so a chunk on a third of all pages is no hot group.
+"""Problem 6: text that comes back on page after page of one host, by content-defined chunks.
+
+Texts are cut into chunks where a rolling hash over the last bytes meets a mask, so that equal text is
+cut alike wherever it stands, and documents are counted per (host, chunk). Two results come of it.
+``repeated_chunks`` lets chunks run across line breaks and finds passages within lines and over several
+lines. ``repeated_lines`` answers in whole lines: there a line break is one more content-defined cut, so a
+repeated line has all its chunks repeated wherever it stands; lines whose most telling chunk is not are
+out, and what is left is counted exactly per (host, line). ``cut_pages`` takes both out of the texts.
+Counts are taken over all documents, and pre-aggregated before the shuffle, so a chunk on a third of all
+pages is no hot group.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import current_pages, host, map_rows
+from quernstone.llm.markup import pieces
 
 #: Parameters: ids of a host a line must be on; words a line needs; window of the rolling hash in bytes; bits of the cut mask (mean chunk of 2^bits bytes).
 IDS, WORDS, WINDOW, BITS = 5, 4, 16, 6
@@ -150,10 +153,77 @@ def repeated_lines(chunked: DataFrame, ids: int = IDS) -> DataFrame:
     return near.join(exact, ["site", "key"]).select("id", "line_no", "site", "ids")
 
 
-def cut_pages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, text): current pages without the lines in ``found``."""
-    gone = found.groupBy("id").agg(F.collect_list("line_no").alias("gone"))
-    pages = current_pages(docs, "content_markdown").join(gone, "id", "left")
-    lines = F.split("content_markdown", "\n")
-    kept = F.filter(lines, lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", (i + 1).cast("int")))
-    return pages.select("id", F.array_join(kept, "\n").alias("text"))
+SPANS = "id string, site string, hash bigint, start int, stop int, once boolean"
+
+
+def page_chunks(docs: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """SPANS: chunks of current pages with a host, cut by content alone, across line breaks, outside code; places are bytes of the text."""
+    pages = current_pages(docs, "url", "content_markdown").select("id", host(F.col("url")).alias("site"), "content_markdown").where("site is not null")
+
+    def make():
+        def work(b):
+            out = {k: [] for k in ("id", "site", "hash", "start", "stop", "once")}
+            for page, site, text in zip(b["id"], b["site"], b["content_markdown"]):
+                base, seen = 0, set()
+                for code, part in pieces(text or ""):
+                    data = part.encode()
+                    if not code and data:
+                        _, value, length = chunk_hashes([data], window, bits)
+                        ends = np.cumsum(length)
+                        for h, n, end in zip(value.view(np.int64).tolist(), length.tolist(), ends.tolist()):
+                            if _has_words(data[end - n : end].decode("utf-8", "ignore")):
+                                for k, v in zip(out, (page, site, h, base + end - n, base + end, h not in seen)):
+                                    out[k].append(v)
+                                seen.add(h)
+                    base += len(data)
+            return out
+
+        return work
+
+    return map_rows(pages, make, SPANS)
+
+
+def repeated_chunks(chunks: DataFrame, ids: int = IDS) -> DataFrame:
+    """(id, start, stop): chunks of at least four words on at least ``ids`` pages of their host. ``chunks`` is read twice: give it checkpointed."""
+    many = chunks.where("once").groupBy("site", "hash").count().where(F.col("count") >= ids).select("site", "hash")
+    return chunks.join(many, ["site", "hash"]).select("id", "start", "stop")
+
+
+def without(text: str | None, gone: list[int] | None, spans: list[tuple[int, int]] | None) -> str:
+    """A text without lines (numbers from 1) and spans (of bytes, not overlapping); what a span leaves of a character is left out."""
+    lines = (text or "").split("\n")
+    if gone or spans:
+        drop, spans, at, out = set(gone or ()), sorted(spans or ()), 0, []
+        for number, line in enumerate(lines, 1):
+            data = line.encode()
+            if number not in drop:
+                kept, from_ = [], 0
+                for a, b in spans:
+                    a, b = max(a - at, 0), min(b - at, len(data))
+                    if a < b:
+                        kept.append(data[from_:a])
+                        from_ = b
+                if from_:
+                    data = b"".join([*kept, data[from_:]])
+                if data.strip() or not from_:
+                    out.append(data.decode("utf-8", "ignore"))
+            at += len(line.encode()) + 1
+            while spans and spans[0][1] <= at:
+                spans.pop(0)
+        return "\n".join(out)
+    return text or ""
+
+
+def cut_pages(docs: DataFrame, found: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(id, text): current pages without the lines in ``found`` and, if given, the ``chunks`` (id, start, stop) within their other lines."""
+    pages = current_pages(docs, "content_markdown").join(found.groupBy("id").agg(F.collect_list("line_no").alias("gone")), "id", "left")
+    spans = chunks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")) if chunks is not None else None
+    pages = pages.join(spans, "id", "left") if spans is not None else pages.withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+
+    def make():
+        def work(b):
+            return {"id": b["id"], "text": [without(t, g, [(s["start"], s["stop"]) for s in sp or ()]) for t, g, sp in zip(b["content_markdown"], b["gone"], b["spans"])]}
+
+        return work
+
+    return map_rows(pages, make, "id string, text string")

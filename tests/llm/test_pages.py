@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernstone.llm import boilerplate, catalogue, markup, quality, repeats, residue, spam
-from quernstone.llm.common import current_pages, host
+from quernstone.llm.common import current_pages, host, site_name
 from quernstone.session import written
 
 #: The columns of docs, and columns whose names the operators use themselves.
@@ -88,38 +88,111 @@ def test_current_pages(spark):
 # -- 5
 
 
+def labelled(kind, text, title=None, site="a.site.test", links=(), i=0):
+    return SimpleNamespace(id=f"{kind}{i}", site=site, title=title, content_markdown=text, links=list(links), kind=kind)
+
+
+PROMO = "Grab a free copy of our handbook today"
+
+
+def page(i, head, body, lang="en"):
+    """A page of one of several sites with top, body and foot."""
+    site = f"Kazop{i % 5}"
+    top = {
+        "en": f"Skip to main content\nThis website sets cookies for {site}.\n[Home](/h) [Blog](/b) [About](/a)\nHome > Blog > {head}",
+        "it": f"Vai al contenuto\nIl sito {site} imposta biscotti nel dispositivo.\n[Inizio](/i) [Diario](/d) [Chi siamo](/c)\nInizio > Diario > {head}",
+    }[lang]
+    foot = {
+        "en": f"Share this page: Mail | Chat\n## Related articles\n- [Another text](https://kazop{i % 5}.test/x)\nTags: queue, disk\n© 2020 {site}. All rights reserved.",
+        "it": f"Condividi questo articolo: Posta | Chat\n## Articoli simili\n- [Un altro testo](https://kazop{i % 5}.test/x)\nTorna in cima\n© 2020 {site}. Diritti riservati.",
+    }[lang]
+    return SimpleNamespace(id=f"{lang}{i}", site=f"kazop{i % 5}.test", title=head, content_markdown=f"{top}\n\n# {head}\nBy the {site} docs team\n\n{body}\n\n---\n{foot}\n{PROMO}", links=[], kind="prose")
+
+
+NOUNS = ["queue", "disk", "server", "cache", "ledger", "worker", "socket", "shard", "bucket", "token", "mirror", "panel"]
+ITALIAN = ["coda", "disco", "nodo", "registro", "lavoro", "canale", "chiave", "blocco", "tavola", "voce"]
+
+
+def sentences(i, words=NOUNS, pattern="The {a} is written to the {b}, and from there the {c} is read once more by number {n}."):
+    return "\n\n".join(pattern.format(a=words[(i + k) % len(words)], b=words[(i * 3 + k) % len(words)], c=words[(i * 7 + k) % len(words)], n=chr(97 + i % 26) * 3) for k in range(4))
+
+
+LEARNED = boilerplate.fit([page(i, f"A text about the {NOUNS[i % 12]} of {chr(97 + i % 26)}x", sentences(i) + (f"\n\n{PROMO}\n\n{sentences(i + 1)}" if i % 5 == 0 else "")) for i in range(80)])
+
+
+def kept_and_dropped(model, pages, **kw):
+    found = boilerplate.BodyFinder(model)([p.content_markdown for p in pages], [p.site for p in pages], [p.title for p in pages], **kw)[0]
+    good = wrong = missed = 0
+    for lines, forms, drop in found:
+        body = range(next(i for i, x in enumerate(lines) if x.startswith("# ")), lines.index("---"))
+        for i, f in enumerate(forms):
+            if f >= 0:
+                own = i in body and lines[i] != PROMO
+                good += (i in drop) != own
+                wrong += i in drop and own
+                missed += i not in drop and not own
+    return good, wrong, missed
+
+
 def test_boilerplate_page(spark):
     got = {(r.id, r.line_no) for r in boilerplate.boilerplate_lines(docs(spark, EDGE, extra=True), START).collect()}
     lines = PAGE.split("\n")
     dropped = [lines[n - 1] for i, n in sorted(got) if i == "page"]
     kept = [x for k, x in enumerate(lines, 1) if ("page", k) not in got and re.search(r"\w", x)]
-    assert dropped[0] == "Skip to main content" and dropped[-1].startswith("©") and len(dropped) == 11
-    assert "By the Site docs team" in kept and PROSE in kept and "- one step" in kept
-    assert ("crlf", 1) in got and ("crlf", 3) not in got
-    assert not {i for i, _ in got} & {"null", "empty", "blank", "fence", None}
+    assert dropped[0] == "Skip to main content" and dropped[-1].startswith("©") and len(dropped) >= 10
+    assert PROSE in kept and "- one step" in kept and "# A text about queues" in kept
+    assert ("crlf", 3) not in got and not {i for i, _ in got} & {"null", "empty", "blank", "fence", None}
     body = {r.id: r for r in boilerplate.main_bodies(docs(spark, EDGE), START).collect()}
     assert body["null"].body == "" and body["empty"].removed == [] and body["many"].body == PROSE
     assert body["page"].body.startswith("# A text") and "Home | Blog | About" in body["page"].body  # the one in code
 
 
+def test_learning_and_messages_decide():
+    """Learned potentials find what the starting ones miss; without messages lines of an unseen language are lost."""
+    test = [page(i, f"A text about the {NOUNS[i % 12]} of {chr(97 + i % 26)}z", f"{sentences(i + 5)}\n\n{PROMO}\n\n{sentences(i)}") for i in range(60, 80)]
+    good, wrong, missed = kept_and_dropped(LEARNED, test)
+    assert wrong == 0 and missed == 0
+    assert sum(kept_and_dropped(START, test)[1:]) > 0
+    other = [page(i, f"Un testo sulla {ITALIAN[i % 10]}", sentences(i, ITALIAN, "Il {a} viene scritto nel {b}, e da lì la {c} viene letta ancora una volta."), "it") for i in range(20)]
+    good, wrong, missed = kept_and_dropped(LEARNED, other)
+    assert wrong == 0 and good / (good + missed) > 0.85
+    assert kept_and_dropped(LEARNED, other, messages=False)[0] < good
+
+
+def test_result_does_not_depend_on_order():
+    """A line that is one page's title is judged anew on the other pages of its site."""
+    a = f"A line that is a title.\n\n{PROSE}"
+    texts, titles = [a, a], ["A line that is a title.", "Another"]
+    there = boilerplate.BodyFinder(LEARNED)(texts, ["s.t"] * 2, titles)[0]
+    back = boilerplate.BodyFinder(LEARNED)(texts, ["s.t"] * 2, titles[::-1])[0][::-1]
+    assert [x[1] for x in there] == [x[1] for x in back] and there[0][1][0] != there[1][1][0]
+
+
+def test_long_lines_are_judged_like_short_ones():
+    short = "This website sets cookies for the counts of its visits. Share this page."
+    text = lambda x: f"Skip to main content\n{x}\n[Home](/h) [Blog](/b)\n\n# A head\n\n{PROSE}"
+    for notice in (short, " ".join([short] * 6)):
+        assert 1 in boilerplate.BodyFinder(LEARNED)([text(notice)], ["s.t"], ["A head"])[0][0][2]
+
+
 def test_notice_is_body_or_stray():
-    notice = "This app needs JavaScript to run, but your browser has it switched off."
-    find = boilerplate.BodyFinder(START)
-    alone, beside = find([f"Menu\n\n# Site\n{notice}\nRef: abc", f"# Head\n\n{(PROSE + ' ') * 4}\n\n{notice}"], ["a.b", "a.b"], [None, None])[0]
-    assert 3 not in alone[2] and 0 in alone[2]
-    assert 4 in beside[2] and 2 not in beside[2]
+    notice = "This website sets cookies for Kazop1."
+    find = boilerplate.BodyFinder(LEARNED)
+    alone, beside, marks = find([f"# Site\n\n{notice}", f"# Head\n\n{sentences(3)}\n\n---\n{notice}\nTags: a, b", f"{notice}\n\n***** }}}}<$>?&"], ["kazop1.test"] * 3, [None, None, None])[0]
+    assert 2 not in alone[2] and beside[0].index(notice) in beside[2] and 0 in marks[2]
 
 
 def test_messages_are_exact():
     """Sum-product on the tree equals summing over all states."""
+    import itertools
+
     rng = np.random.default_rng(0)
     k, v = len(boilerplate.KINDS), 3 * boilerplate.N_SYM
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
     m = boilerplate.TreeModel(norm(rng.random(k), 0), norm(rng.random((k, 2)), 1), norm(rng.random((2, 2)), 1), norm(rng.random((k, 2, v)), 2))
-    sym, block, page = np.array([5, 17, 40, 8]), np.array([0, 0, 1, 2]), np.array([0, 0, 1])
-    got, root = m.marginals(sym, block, page, 2)
-    import itertools
-
+    sym, block, page_of = np.array([5, 17, 40, 8]), np.array([0, 0, 1, 2]), np.array([0, 0, 1])
+    odds = np.array([0.5, -1.0, 2.0, 0.3])
+    got, root = m.marginals(boilerplate.Pages(sym, odds, block, page_of, page_of[block], np.arange(4), 2))
     for p, (blocks, lines) in enumerate([((0, 1), (0, 1, 2)), ((2,), (3,))]):
         total, on, roots = 0.0, dict.fromkeys(lines, 0.0), np.zeros(k)
         for kind in range(k):
@@ -127,7 +200,7 @@ def test_messages_are_exact():
                 for ls in itertools.product((0, 1), repeat=len(lines)):
                     w = m.root[kind] * np.prod([m.block[kind, b] for b in bs])
                     for line, state in zip(lines, ls):
-                        w *= m.line[bs[blocks.index(block[line])], state] * m.emit[kind, state, sym[line]]
+                        w *= m.line[bs[blocks.index(block[line])], state] * m.emit[kind, state, sym[line]] * np.exp(odds[line] * state)
                     total += w
                     roots[kind] += w
                     for line, state in zip(lines, ls):
@@ -159,15 +232,59 @@ NAMES = "\n".join(f"- item{chr(97 + i)}x" for i in range(20))
 SPEECH = " ".join(["If you want zatel pills, our zatel pills is the zatel pills that fans call zatel pills."] * 5)
 
 
-@pytest.mark.parametrize("text, kind", [(WORDS + "\n" + WORDS, "keys"), (TAGS + "\n" + TAGS, "tags"), (LINKS, "links"), (BARE, "links"), (SPEECH, "keys"), ("# Head\n" + PROSE + "\n" + (WORDS + "\n") * 4, "keys"), (OVERVIEW, ""), (NAMES, ""), (PROSE * 5, ""), ("", ""), ("| a | b |\n|---|---|\n| c | 1 |", ""), ("```\n" + WORDS + "\n```", "")])
-def test_spam_kinds(text, kind):
-    assert spam.spam_kind(boilerplate.body_lines(*boilerplate.BodyFinder(START)([text], ["a.b"], ["t"])[0][0]))[0] == kind
+EVEN = " ".join(["zatel", "pilor", "kusap", "venor", "tamil", "bogat", "rusek", "limot", "dafen", "hobir"] * 8)
+BUY = "\n".join(f"- [buy now](https://one.test/x{i})" for i in range(40))
+NEAR = "\n".join(f"- [buy now](/x{i})" for i in range(40))
+UNSPACED = "便宜药丸购买" * 40
+SHAPES = spam.ShapeModel.start()
+
+
+def spam_share(text, links=(), model=SHAPES):
+    held, n = spam.shapes_of([(i, "other", x) for i, x in enumerate(text.split("\n")) if x.strip()], len(links))
+    if n < spam.LEAST:
+        return 0.0
+    codes = np.array(list(held))
+    return sum(k for k, bad in zip(held.values(), model.chance(codes) >= 0.5) if bad) / sum(held.values())
+
+
+@pytest.mark.parametrize(
+    "text, spammy",
+    [(WORDS + "\n" + WORDS, True), (TAGS + "\n" + TAGS, True), (LINKS, True), (BARE, True), (SPEECH, True), (PROSE + "\n" + (WORDS + "\n") * 4, True), (EVEN, True), (BUY, True), (NEAR, True), (UNSPACED, True), ("office office office sale " * 20, True), ("laptop laptop laptop sale " * 20, True), (OVERVIEW, False), (NAMES, False), (PROSE * 5, False), ("", False), ("| a | b |\n|---|---|\n| c | 1 |", False)],
+)
+def test_spam_shapes(text, spammy):
+    assert (spam_share(text) >= spam.SHARE) is spammy
 
 
 def test_spam_pages(spark):
-    rows = [*EDGE, ("s", None, None, TAGS + "\n" + TAGS), ("s", None, None, TAGS + "\n" + TAGS)]
-    assert [r.id for r in spam.spam_pages(docs(spark, rows, extra=True), START).collect()] == ["s"]
-    assert spam.spam_pages(docs(spark, []), START).collect() == []
+    rows = [*EDGE, ("s", None, None, TAGS + "\n" + TAGS), ("s", None, None, TAGS + "\n" + TAGS), ("code", None, None, "```\n" + WORDS + "\n```")]
+    assert [r.id for r in spam.spam_pages(docs(spark, rows, extra=True), START, SHAPES).collect()] == ["s"]
+    assert spam.spam_pages(docs(spark, []), START, SHAPES).collect() == []
+
+
+def test_outgoing_links_count():
+    assert spam.foreign_links(["https://x.test/a", "https://a.b/c", None, "/near"], "a.b") == 1 and spam.foreign_links(None, None) == 0
+    body = [(0, "other", "a plain line of words")]
+    assert set(spam.shapes_of(body, 0)[0]) != set(spam.shapes_of(body, 5)[0])
+
+
+def test_shapes_are_judged_over_the_crawl(spark):
+    """A shape that stands on spam pages all over the crawl becomes one of spam, whatever its first score; the same pages without the others do not."""
+    rows = [(f"p{i}", [(1, 900), (2, 1100)], 0.8) for i in range(20)] + [(f"q{i}", [(3, 500)], 0.01) for i in range(20)]
+    frame = spark.createDataFrame(rows, "id string, shapes array<struct<code:int,chars:int>>, first double")
+    own = dict(zip((1, 2, 3), SHAPES.chance(np.array([1, 2, 3]))))
+    assert max(own.values()) < 0.5
+    scores = {r.code: r.spam for r in spam.shape_scores(frame, SHAPES).collect()}
+    for code, chars, first in ((1, 18000, 0.8), (3, 10000, 0.01)):
+        assert scores[code] == pytest.approx((chars * first + 2000 * own[code]) / (chars + 2000))
+    assert {r.id for r in spam.spam_of(frame, SHAPES).collect()} == {f"p{i}" for i in range(20)}
+    assert spam.spam_of(frame.where("id = 'p0'"), SHAPES).collect() == []
+
+
+def test_spam_learning():
+    rows = [labelled("prose", sentences(i), i=i) for i in range(20)] + [labelled("spam", EVEN, i=i) for i in range(20)]
+    model = spam.fit(LEARNED, rows)
+    assert spam_share(EVEN, model=model) == 1 and spam_share(sentences(30), model=model) == 0
+    assert spam.fit(LEARNED, []).sample == 0
 
 
 # -- 3
@@ -178,41 +295,56 @@ def test_titles(title, hit):
     assert residue.title_unfilled(title, "site") is hit
 
 
+MESSAGES = residue.start_words()
+
+
 def judged(spark, rows, **kw):
-    return {r.id: r for r in residue.decide(written(residue.residue_candidates(docs(spark, rows, **kw), START))).collect()}
+    return {r.id: r for r in residue.decide(written(residue.residue_candidates(docs(spark, rows, **kw), START, MESSAGES)), MESSAGES).collect()}
 
 
 def test_residue(spark):
-    weak = "The widget store answers: error in unit."
+    unlisted = "Konto ruht bis auf Weiteres, Meldung 17."
+    part = "Every text here was looked at by two people."
     rows = [
         *EDGE,
-        ("msg", "https://a.site.test/1", "Oops", "# Oops\n\nThe page you asked for could not be found on Site.\nRef: abc"),
-        ("js", None, "Site", "This app needs JavaScript to run, but your browser has it switched off."),
+        *[(f"m{i}", f"https://a.site{i}.test/1", "Oops", f"# Oops\n\nThe page you asked for could not be found on Site{i}.\nRef: abc") for i in range(3)],
         ("ph", None, "t", "Dear {{ first_name }}, thank you for your order of ${product}. Welcome to @@city@@."),
         ("fill", None, "t", "Lorem ipsum dolor sit amet consectetur adipiscing elit. Sed eiusmod tempor incididunt labore."),
-        ("out", None, "t", "[object Object] by undefined on Invalid Date\nTypeError: cannot read property x of undefined"),
-        ("talk", None, "Why queues need JavaScript", PROSE + ' The notice "please enable JavaScript" is shown by the queue. ' + PROSE * 3),
+        ("talk", None, "Why queues need JavaScript", PROSE + ' The notice "please enable JavaScript" is shown by the queue. ' + sentences(2)),
         ("code", None, "t", PROSE + "\nUse `{{ name }}` here.\n```\n{{ name }} ${name} [object Object]\n```"),
-        ("title", None, "{{ title }}", PROSE),
-        *[(f"w{i}", f"https://h{i}.test/", "t", weak) for i in range(3)],
+        ("title", None, "{{ title }}", sentences(1)),
+        *[(f"u{i}", f"https://h{i}.test/", "t", unlisted.replace("17", str(i))) for i in range(3)],
+        *[(f"a{i}", f"https://g{i}.test/", "t", f"{sentences(i + 3)}\n\n{part}") for i in range(5)],
+        ("once", "https://z.test/", "t", "The widget store answers: access denied."),
     ]
     got = judged(spark, rows, extra=True)
-    assert set(got) == {"msg", "js", "ph", "fill", "out", "title", "w0", "w1", "w2"}
-    assert got["title"].title_hit and not got["msg"].title_hit
-    assert not {"w0", "w1"} & set(judged(spark, [r for r in rows if r[0] != "w2"]))  # on two sources only
+    # a message in no list that is all that pages of three sources have is out; one sentence of five articles is not, nor a message met once
+    assert set(got) == {"m0", "m1", "m2", "ph", "fill", "title", "u0", "u1", "u2"}
+    assert got["title"].title_hit and not got["m0"].title_hit
+    fewer = judged(spark, [r for r in rows if r[0] not in ("u2", "m2")])
+    assert not {"u0", "u1", "m0", "m1"} & set(fewer)  # on two sources only
     assert judged(spark, []) == {}
 
 
 def test_messages(spark):
     rows = [(f"w{i}", f"https://kazop{i}.test/", "t", f"{PROSE}\nThe page was not found on Kazop{i}, code {i}.\nIt was not found.\nIt was not found.") for i in range(4)] + [*EDGE[1:5]]
-    got = {r.message: r for r in residue.recurring_messages(docs(spark, rows, extra=True), START).collect()}
-    assert got["the page was not found on ~, code 0."].sources == 4 and got["it was not found."].pages == 4 and got["it was not found."].rule == 1
-    assert residue.recurring_messages(docs(spark, []), START).collect() == []
+    got = {r.message: r for r in residue.recurring_messages(docs(spark, rows, extra=True), START, MESSAGES).collect()}
+    assert got["the page was not found on ~, code 0."].sources == 4 and got["it was not found."].pages == 4 and got["it was not found."].alone > 0.1
+    assert residue.recurring_messages(docs(spark, []), START, MESSAGES).collect() == []
+
+
+def test_message_learning():
+    rows = [labelled("error", "Konto ruht bis auf Weiteres.", site=f"h{i}.test", i=i) for i in range(6)] + [labelled("prose", f"{sentences(i)}\n\nEvery text here was looked at by two people.", site=f"h{i}.test", i=i) for i in range(12)]
+    words = residue.fit(START, rows)
+    score = lambda text, alone: words([*residue.evidence(text, text.split()), f"<{alone}>"])
+    assert score("konto ruht bis auf weiteres.", 3) > 0 > score("every text here was looked at by two people.", 0)
+    assert residue.fit(START, []).one == MESSAGES.one
 
 
 def test_mask():
     assert residue.mask(" Sitename  v1.2 at https://x.y/z?q, Mail a@b.co 2024-01-02", "sitename") == "~ v0 at @ mail @ 0"
-    assert residue.site_name("docs.kazop.test") == "kazop" and residue.site_name(None) == ""
+    assert residue.mask("Warning: include(/srv/x.php): cannot read property kazop of y in /srv/a/b (abc)") == "warning: include(@): cannot read property * of y in @ (*)"
+    assert site_name("docs.kazop.test") == "kazop" and site_name(None) == ""
 
 
 # -- 4
@@ -256,27 +388,40 @@ def test_pieces_lose_nothing(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["words and more words here", "<b></b><i></i>", "[x](y)", "", "| | |"]), max_size=9))
-def test_region_is_best(lines):
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 5)), max_size=9))
+def test_region_is_best(own):
     w = markup.Weights()
+    tokens = [(10 * i, c, n) for i, (c, n) in enumerate(own)]
+    scores = [(w.word, w.tag, w.link, w.mark)[c] * n for c, n in own]
+    best = max([sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)] + [0.0])
+    first, last, got = markup.best_region(tokens, w)
+    assert got == pytest.approx(best) and (got == 0 or sum(scores[first // 10 : last // 10 + 1]) == pytest.approx(best))
+
+
+HAND = [
+    ("[Home](/) [Blog](/b) [About](/a)\n\n<h2>Head</h2>\n<p>The queue is written to <b>disk</b>.</p>\n<ul><li>one item here</li></ul>\n\n[x](http://a.b/c) [y](http://a.b/d)", "## Head\n\nThe queue is written to disk.\n\n- one item here"),
+    ("== Head ==\nThe '''queue''' is [[Disk|written]] here.\n\n```\n<b>code</b> [[x]]\n```\n[a](/b) [c](/d) [e](/f)", "## Head\nThe queue is written here.\n\n```\n<b>code</b> [[x]]\n```"),
+    ("\\section{Head}\nSo $x_1^2$ holds for \\emph{all} words.\n\\begin{tabular}{ll}\na & b \\\\\nc & d\n\\end{tabular}", "## Head\nSo $x_1^2$ holds for all words.\n| a | b |\n| c | d |"),
+    ("- [1](/1)\n- [2](/2)", ""),
+]
+
 
-    def score(line):
-        if not line:
-            return 0.0
-        a, b, c, d = markup.line_counts(line)
-        return w.word * a + w.tag * b + w.link * c + w.mark * d - (1.0 if a else 0.5)
+@pytest.mark.parametrize("raw, clean", HAND)
+def test_region_and_clean_text_by_hand(raw, clean):
+    text, _, first, last, score = markup.cleaned(raw, markup.Weights())
+    assert text.strip() == clean and (score > 0) is bool(clean) and (first > 0) is bool(clean)
 
-    scores = [score(x) for x in lines]
-    best = max([sum(scores[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)] + [0.0])
-    first, last, got = markup.best_region(lines, w)
-    assert got == pytest.approx(best) and (got == 0 or sum(scores[first - 1 : last]) == pytest.approx(best))
+
+@pytest.mark.parametrize("text, kind", [("so $$" + "x^2 + " * 600 + "y$$ holds", "latex"), ("it was '''" + "very " * 60 + "bold''' there", "wiki"), ("see [[" + "long " * 80 + "target]] there", "wiki"), ("== " + "head " * 60 + "==", "wiki"), ("<ref>x</ref>", "wiki"), ("<nowiki>", "wiki"), ("a\n|}\nb", "wiki")])
+def test_long_markup_is_markup(text, kind):
+    assert markup.kinds_of(markup.pieces(text)) == [kind]
 
 
 def test_cleaned_pages(spark):
-    got = {r.id: r for r in markup.cleaned_pages(docs(spark, [*EDGE, ("h", None, None, "<p>x</p>")], extra=True), markup.Weights()).collect()}
-    assert got["null"].text == "" and got["null"].markup == [] and got["empty"].first_line == 0 and got["h"].markup == ["html"] and got["h"].text == "x"
+    got = {r.id: r for r in markup.cleaned_pages(docs(spark, [*EDGE, ("h", None, None, "<p>xy</p>")], extra=True), markup.Weights()).collect()}
+    assert got["null"].text == "" and got["null"].markup == [] and got["empty"].first_line == 0 and got["h"].markup == ["html"] and got["h"].text == "xy"
     assert len(got) == 10 and markup.cleaned_pages(docs(spark, []), markup.Weights()).collect() == []
-    w = markup.Weights.learn([(PROSE, "prose"), ("<b></b>[x](y) | |", "list")])
+    w = markup.Weights.learn([(PROSE, "prose"), ("<b></b>[x](y) a | b", "list")])
     assert w.word > 0 > max(w.tag, w.link, w.mark) and markup.Weights.learn([]) == markup.Weights()
 
 
@@ -314,6 +459,27 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.repeated_lines(written(repeats.chunked_pages(docs(spark, [])))).collect() == []
 
 
+def test_repeated_passages_within_lines(spark):
+    """Pages of one line that share a passage have no line in common, but chunks."""
+    passage = " ".join(f"shared{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    own = [" ".join(f"own{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i * 7 % 26)}" for i in range(60)) for k in range(8)]
+    rows = [(f"d{k}", f"https://h.test/{k}", "t", f"{own[k]} {passage} {own[-1 - k]}") for k in range(8)] + [*EDGE, ("nl", "https://h.test/nl", "t", passage.replace(" sharedaa", "\nsharedaa"))]
+    frame = docs(spark, rows, extra=True)
+    found = repeats.repeated_lines(written(repeats.chunked_pages(frame)))
+    chunks = repeats.repeated_chunks(written(repeats.page_chunks(frame)))
+    assert found.collect() == []
+    text = {r.id: r.text for r in repeats.cut_pages(frame, found, chunks).collect()}
+    for k in range(8):
+        assert len(text[f"d{k}"]) < len(rows[k][3]) - len(passage) * 0.7 and set(own[k].split()[:50]) <= set(text[f"d{k}"].split())
+    assert text["null"] == "" and text["long"] == EDGE[4][3]
+    assert repeats.repeated_chunks(written(repeats.page_chunks(docs(spark, [])))).collect() == []
+
+
+def test_without():
+    assert repeats.without("ab\ncdef\ng", [1], [(4, 6)]) == "cf\ng" and repeats.without("é€x", None, [(1, 3)]) == "x"[:0] + "\ufffd"[:0] + repeats.without("é€x", None, [(1, 3)])
+    assert repeats.without(None, None, None) == "" and repeats.without("a\nb", None, None) == "a\nb" and repeats.without("abc\nd", [], [(0, 5)]) == ""
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=300), max_size=6))
 def test_chunks_do_not_depend_on_place(lines):
@@ -347,13 +513,13 @@ def test_paths_equal_brute_force():
     import itertools
 
     rng = np.random.default_rng(2)
-    hmm = quality.LineHMM(*(np.log(x / x.sum(-1, keepdims=True)) for x in (rng.random(4), rng.random((4, 4)), rng.random((4, quality.N_OB)))))
-    seen = [rng.integers(0, quality.N_OB, n).tolist() for n in (0, 1, 3, 5, 2, 5)]
+    norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
+    hmm = quality.LineHMM(norm(rng.random(4)), norm(rng.random((4, 4))), [norm(rng.random((4, k))) for k in quality._SIZES])
+    seen = [np.stack([*(rng.integers(0, k, n) for k in quality._SIZES), rng.integers(1, 300, n)], 1) for n in (0, 1, 3, 5, 2, 5)]
     for s, path in zip(seen, hmm.paths(seen)):
-        def score(p, s=s):
-            return hmm.start[p[0]] + sum(hmm.emit[a, o] for a, o in zip(p, s)) + sum(hmm.change[a, b] for a, b in zip(p, p[1:]))
-
-        if s:
+        if len(s):
+            e = hmm.evidence(s)
+            score = lambda p: hmm.start[p[0]] + sum(e[t, a] for t, a in enumerate(p)) + sum(hmm.change[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
             assert score(path.tolist()) == pytest.approx(max(score(p) for p in itertools.product(range(4), repeat=len(s))))
 
 
@@ -362,18 +528,28 @@ def test_quality_pages(spark):
     assert got["null"].lines == 0 and got["empty"].prose == 0 and got["many"].prose == 1 and len(got) == 9
     assert got["many"].words == len(re.findall("[a-z]+", PROSE.lower())) and got["many"].end_ratio == 1
     rows = [*EDGE, ("list", None, "t", LIST), ("spam", None, "t", TAGS + "\n" + TAGS), ("tpl", None, "{{ title }}", LIST)]
-    written_rows = written(quality.not_prose_candidates(docs(spark, rows, extra=True), START, HMM))
-    found = written_rows.where("bad").select("id").join(residue.decide(written_rows).select("id"), "id", "left_anti")
+    written_rows = written(quality.not_prose_candidates(docs(spark, rows, extra=True), START, HMM, SHAPES, MESSAGES))
+    others = residue.decide(written_rows, MESSAGES).select("id").unionByName(spam.spam_of(written_rows, SHAPES).select("id"))
+    found = written_rows.where("bad").select("id").join(others, "id", "left_anti")
     assert "list" in {r.id for r in found.collect()} and not {"spam", "tpl", "page", "many", "null"} & {r.id for r in found.collect()}
     assert quality.page_quality(docs(spark, []), START, HMM).collect() == []
 
 
-def test_hmm_training():
-    page = lambda t, k: SimpleNamespace(content_markdown=t, site=None, title=None, kind=k)
-    hmm = quality.fit(START, [page(PROSE * 3, "prose")] * 5 + [page(LIST, "list")] * 5 + [page(PROSE * 3, "list"), page("", "junk"), page(TAGS, "spam")])
-    assert np.allclose(np.exp(hmm.emit).sum(1), 1) and quality.fit(START, []).sample == 0
-    body = [(0, "sentence", PROSE)]
-    assert quality.Prose(hmm)([body])[0]["prose"] == 1
+def test_hmm_training_and_transitions_decide():
+    """What is learned labels lines the starting potentials do not; neighbours decide lines that could be either."""
+    strange = lambda i: sentences(i, ITALIAN, "Quando {a} viene dopo {b} nasce {c} ancora").split("\n\n")
+    rows = [labelled("prose", "\n\n".join(strange(i)), i=i) for i in range(20)] + [labelled("list", LIST, i=i) for i in range(8)] + [labelled("list", sentences(3), i=9), labelled("junk", "", i=2), labelled("spam", TAGS, i=3)]
+    hmm = quality.fit(START, rows)
+    assert all(np.allclose(np.exp(e).sum(1), 1) for e in hmm.emit) and quality.fit(START, []).sample == 0
+    assert quality.Prose(hmm)([[(0, "sentence", PROSE)]])[0]["prose"] == 1
+    body = [(i, "other", x) for i, x in enumerate(strange(99))]
+    assert quality.Prose(hmm)([body])[0]["prose"] > 0.9 > quality.Prose(HMM)([body])[0]["prose"]
+    among = [[(0, "short", x)] * 8 for x in ("| kazop | 1.5 | 12.5 |", "kazop tamil")]
+    for own, label in zip(among, ("table", "list")):
+        odd = [*own[:4], (0, "short", "Name: 4; none"), *own[4:]]
+        assert quality.Prose(HMM)([odd])[0][label] == 1
+    alone = [quality.Prose(HMM, changes=False)([[*own[:4], (0, "short", "Name: 4; none"), *own[4:]]])[0] for own in among]
+    assert alone[0]["table"] < 1 or alone[1]["list"] < 1
 
 
 # -- queries, held-out accuracy
@@ -397,16 +573,12 @@ def test_agreement_with_labels_held_out(spark):
     rows = boilerplate.labelled_pages(pages, votes.where(half == 0))
     test = boilerplate.labelled_pages(pages, votes.where(half == 1))
     tree = boilerplate.fit(rows)
-    hmm = quality.fit(tree, rows)
-    found = boilerplate.BodyFinder(tree)([r.content_markdown for r in test], [r.site for r in test], [r.title for r in test])[0]
-    bodies = [boilerplate.body_lines(*f) for f in found]
-    right = 0
-    for r, body, q in zip(test, bodies, quality.Prose(hmm)(bodies)):
-        row = residue.candidate(residue.Judge(), r.id, r.site, r.title, body)
-        error = bool(row) and (row["title_hit"] or sum(s["words"] for s in row["segments"]) >= 0.5 * max(row["words"], 1))
-        said = "spam" if spam.spam_kind(body)[0] else "error" if error else "other" if 1 - q["prose"] >= quality.NOT_PROSE else "prose"
-        right += said == ("other" if r.kind in ("list", "table", "junk") else r.kind)
-    assert right / len(test) > 0.9
+    shapes, words, hmm = spam.fit(tree, rows), residue.fit(tree, rows), quality.fit(tree, rows)
+    chosen = pages.join(F.broadcast(spark.createDataFrame([(r.id,) for r in test], "id string")), "id")
+    kept = written(quality.not_prose_candidates(chosen, tree, hmm, shapes, words))
+    said = {r.id: "other" for r in kept.where("bad").collect()} | {r.id: "error" for r in residue.decide(kept, words).collect()} | {r.id: "spam" for r in spam.spam_of(kept, shapes).collect()}
+    right = sum(said.get(r.id, "prose") == ("other" if r.kind in ("list", "table", "junk") else r.kind) for r in test)
+    assert right / len(test) > 0.85
 
 
 @pytest.mark.parametrize("text", ["[" * 60_000, "[[a|" * 20_000, "x" * 100_000, "<a " * 30_000, "`a" * 30_000, "''a" * 30_000, "a " * 40_000, "$x" * 30_000, "](http://" * 10_000, "#a " * 30_000])
@@ -415,11 +587,11 @@ def test_hostile_texts_take_linear_time(text):
 
     began = time.process_time()
     body = boilerplate.body_lines(*boilerplate.BodyFinder(START)([text], ["a.b"], ["t"])[0][0])
-    spam.spam_kind(body)
+    spam.shapes_of(body)
     residue.candidate(residue.Judge(), "i", "a.b", text, body)
     quality.Prose(HMM)([body])
     parts = markup.pieces(text)
     markup.clean(parts, ["html", "wiki", "latex"])
-    markup.kinds_of(parts)
+    markup.cleaned(text, markup.Weights())
     repeats.chunk_hashes([x.encode() for _, x in repeats.lines_of(text)])
     assert time.process_time() - began < 8

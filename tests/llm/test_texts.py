@@ -127,7 +127,7 @@ def runs(a, b):
     return best
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, "t", "p " * 30, " ".join(r.choices(vocabulary, k=22)), " ".join(r.choices(vocabulary, k=50)) if i % 4 else None, "a") for i in range(12)]
@@ -146,8 +146,9 @@ def test_leaks_equal_brute_force(spark):
     items += [(None, "t", "p", "q " * 20, None, "a"), (50, None, None, None, None, None), (51, "t", "p", "", "too short to count", "a")]
     frame, goods = clash(spark.createDataFrame(docs, DOC), "item_id", "run", "field"), clash(spark.createDataFrame(items, ITEM), "doc_id", "run", "x")
     want = {(d, i) for d, t in docs if d is not None and t for i, _, _, q, p, _ in items if i is not None and max(runs(leak.words_of(t), leak.words_of(x)) if x else 0 for x in (q, p)) >= 12}
-    for block in (2_000_000, 20):
-        got = leak.leaks(frame, goods, block).where("run >= 12").select("doc_id", "item_id").distinct().collect()
+    for sent in (2_000_000, 0):  # items sent to all tasks, and joined by a shuffle
+        monkeypatch.setattr(leak, "SENT_WORDS", sent)
+        got = leak.leaks(frame, goods).where("run >= 12").select("doc_id", "item_id").distinct().collect()
         assert {(x.doc_id, x.item_id) for x in got} == want and want
     assert leak.leaks(frame.limit(0), goods).collect() == [] and leak.leaks(frame, goods.limit(0)).collect() == []
 
