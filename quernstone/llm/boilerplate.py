@@ -67,6 +67,7 @@ _HOST = re.compile(r"^https?://(?:[^/?#@]*@)?([^/?#:]+)")
 _CRUMB_CUT = re.compile(r" (?:›|»|>|/|→) ")
 _SPACE = re.compile(r"\s+")
 _URL = re.compile(r"\]\([^)\s]*\)|https?://\S+")
+_DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[©«»›|~/=]")
 _ENDS = frozenset(".!?:;…\"”»')")
 
@@ -85,11 +86,16 @@ def tokens_of(line: str, name: str = "", head: str = "") -> list[str]:
         low = _SPACE.sub(" ", low).replace(head, " = ")
     if name and name in low:
         low = low.replace(name, " ~ ")
-    return ["0" if t.isdigit() else t for t in _TOKEN.findall(low)]
+    if _DIGITS.search(low):
+        low = _DIGITS.sub("0", low)
+    return _TOKEN.findall(low)
 
 
 def holds_title(line: str, head: str) -> bool:
-    return len(line) >= len(head) and head in _SPACE.sub(" ", line.lower())
+    if len(line) < len(head):
+        return False
+    low = line.lower()
+    return head in low or "  " in low and head in " ".join(low.split())
 
 
 def line_form(line: str, site: str | None) -> int:
@@ -139,11 +145,13 @@ class Words:
 
     def __call__(self, tokens: list[str]) -> float:
         one, two = self.one, self.two
-        own = set(tokens)
-        known = own & one.keys()
-        total = self.base + sum([one[t] for t in known]) + sum([one.get(f, 0.0) for f in self.strange(len(own), len(own) - len(known))])
+        own = list(map(one.get, set(tokens)))
+        unknown = own.count(None)
+        total = self.base + sum(filter(None, own))
+        for f in self.strange(len(own), unknown):
+            total += one.get(f, 0.0)
         if two:
-            total += sum([two[p] for p in set(zip(("^", *tokens), (*tokens, "$"))) & two.keys()])
+            total += sum(filter(None, map(two.get, set(zip(("^", *tokens), (*tokens, "$"))))))
         return total
 
     @staticmethod

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -60,6 +61,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows are lists and tuples without cycles, and tables of things met grow large: looking through them often is of no use
+        gc.set_threshold(200_000, 50, 100)
         work = make()
         for batch in batches:
             if batch.num_rows:

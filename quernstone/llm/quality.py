@@ -33,7 +33,7 @@ _INNER = re.compile(r"[^\W\d_][^\w\s'’.,/@&:;+)(\-\]\[]+(?=[^\W_])|[^\W\d_][01
 _MIXED = re.compile(r"\b(?:[^\W\d_]+\d|\d+[^\W\d_])\w*")
 # Markup is no sign of broken text.
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--|-->|&#?\w+;|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\'\'\'?|\{\{|\}\}|\\[A-Za-z]+|\$[^$\n]*[\\^_][^$\n]*\$|\\[()]")
-_NO_DIGITS = {i: None for i in range(48, 58)}
+_DIGITS = re.compile(r"\d+")
 _ENDS = frozenset(".!?:…\"”»")
 
 #: Bounds of the ranges of each statistic of a line.
@@ -68,12 +68,12 @@ def observe(line: str) -> tuple[list[float], dict[str, float]]:
     words = _WORD.findall(text)
     tokens = text.split()
     n, letters = len(words), sum(map(len, words))
-    digits = len(text) - len(text.translate(_NO_DIGITS))
+    digits = sum(map(len, _DIGITS.findall(text)))
     marks = max(len(text) - letters - digits - (len(text) - sum(map(len, tokens))), 0)
-    common = sum(w in COMMON for w in map(str.lower, words))
+    common = sum(map(COMMON.__contains__, map(str.lower, words)))
     fields = text.strip("|").count("|") + text.count("\t") + text.count(";") + (line.lstrip()[:1] == "|")
     count = max(len(tokens), 1)
-    broken = len(_INNER.findall(text)) if marks or digits else 0
+    broken = len(_INNER.findall(text)) if digits or marks * 25 >= size else 0
     if not text.isascii():
         broken += len(_MOJIBAKE.findall(text))
     numbers = len(_NUMBER.findall(text)) if digits else 0

@@ -69,22 +69,25 @@ _MASK = re.compile(r"<?(?:https?://|www\.)[^\s>)]+>?|[\w.+-]+@[\w-]+\.[\w.]+|\d+
 _PATH = re.compile(r"(?:/[\w.-]+)+/?|\b[\w-]+\.(?:[a-z]{2,4}|html)\b")
 # A reference in brackets at the end.
 _TRAIL = re.compile(r"[(\[][\w-]+[)\]]$")
-_NAMED = re.compile(r"\b(attribute|class|column|database|field|file|function|host|index|key|method|module|object|property|table|user|variable) ['\"`]?[\w.-]+['\"`]?")
+_DIGIT = re.compile(r"\d")
+_THINGS = frozenset("attribute class column database field file function host index key method module object property table user variable".split())
+_NAMED = re.compile(rf"\b({'|'.join(sorted(_THINGS))}) ['\"`]?[\w.-]+['\"`]?")
 _SPACE = re.compile(r"\s+")
 
 
-def mask(text: str, name: str = "") -> str:
-    """Lower-cased, single spaces; addresses, paths and files become @, numbers and dates 0, the site's own name ~, names of things in program output *."""
-    text = _SPACE.sub(" ", text.strip()).lower()
+def mask(text: str, name: str = "", words: list[str] | None = None) -> str:
+    """Lower-cased, single spaces; addresses, paths and files become @, numbers and dates 0, the site's own name ~, names of things in program output *.
+    ``words``: its words if they are known, to tell at once that no things are named."""
+    text = " ".join(text.split()).lower()
     if name and name in text:
         text = text.replace(name, "~")
-    if "://" in text or "@" in text or any(map(str.isdigit, text)):
+    if "://" in text or "@" in text or _DIGIT.search(text):
         text = _MASK.sub(lambda m: "0" if m.group(0)[0].isdigit() else "@", text)
     if "/" in text or "." in text[:-1]:
         text = _PATH.sub("@", text)
     if text.endswith((")", "]")):
         text = _TRAIL.sub("(*)", text)
-    return _NAMED.sub(r"\1 *", text)
+    return text if words is not None and _THINGS.isdisjoint(words) else _NAMED.sub(r"\1 *", text)
 
 
 def placeholders(text: str) -> list[str]:
@@ -144,7 +147,7 @@ def segments_of(body: list[tuple[int, str, str]], name: str) -> list[tuple[str,
             continue
         for part in _SENTENCE.split(line.strip()) if len(line) > 40 else (line,):
             if words := _WORD.findall(part.lower()):
-                masked = mask(part, name)
+                masked = mask(part, name, words)
                 if len(words) > 4 or not _NEUTRAL.match(masked):
                     out.append((masked, words, unfilled(part, words)))
     return out or [(mask(x, name), w, unfilled(x, w)) for x in heads if (w := _WORD.findall(x.lower()))]
@@ -215,7 +218,10 @@ CANDIDATES = "id string, site string, title_hit boolean, words int, blank int, s
 
 
 def candidate(judge: Judge, page_id: str, site: str | None, title: str | None, body) -> dict:
-    """A page's row of CANDIDATES: each distinct message of its body once, with all its words there."""
+    """A page's row of CANDIDATES: each distinct message of its body once, with all its words there.
+
+    A message's evidence is the same wherever it stands, so it is looked at only where the message holds ``ALONE[1]`` of a page or has a
+    word of a rule; one that does so nowhere is part of longer texts and no residue."""
     name = site_name(site)
     total, blank, held = 0, 0, {}
     for masked, words, empty in segments_of(body, name):
@@ -224,8 +230,9 @@ def candidate(judge: Judge, page_id: str, site: str | None, title: str | None, b
             blank += len(words)
         else:
             own = held.get(masked)
-            held[masked] = (len(words) + (own[0] if own else 0), own[1] if own else judge.score(masked, words))
-    segments = [{"hash": xxhash.xxh64_intdigest(m) - (1 << 63), "words": n, "score": z} for m, (n, z) in held.items()]
+            held[masked] = (len(words) + (own[0] if own else 0), words)
+    least = ALONE[1] * total
+    segments = [{"hash": xxhash.xxh64_intdigest(m) - (1 << 63), "words": n, "score": judge.score(m, w) if n >= least or not _HINTS.isdisjoint(w) else None} for m, (n, w) in held.items()]
     return {"id": page_id, "site": site or "", "title_hit": title_unfilled(title, name), "words": total, "blank": blank, "segments": segments}
 
 
@@ -244,7 +251,7 @@ def messages_of(parts: DataFrame, words: Words, sources: int, *keys: str) -> Dat
     per = parts.groupBy(*keys, "site").agg(F.count("*").alias("pages"), F.sum(F.col("n") / F.greatest("words", F.lit(1))).alias("alone"), F.max("score").alias("score"))
     whole = per.groupBy(*keys).agg(F.count("*").alias("sources"), F.sum("pages").alias("pages"), F.sum("alone").alias("alone"), F.max("score").alias("score")).where(F.col("sources") >= sources)
     alone = F.col("alone") / F.col("pages")
-    return whole.select(*keys, "sources", "pages", alone.alias("alone"), (F.col("score") + _alone_weight(words, alone) >= 0).alias("residue"))
+    return whole.select(*keys, "sources", "pages", alone.alias("alone"), F.coalesce(F.col("score") + _alone_weight(words, alone) >= 0, F.lit(False)).alias("residue"))
 
 
 def decide(candidates: DataFrame, words: Words, sources: int = SOURCES, share: float = SHARE) -> DataFrame:
@@ -286,8 +293,9 @@ def recurring_messages(docs: DataFrame, model: TreeModel, words: Words, sources:
                 total = 0
                 for masked, w, _ in segments_of(body_lines(*found), site_name(site)):
                     total += len(w)
-                    own.setdefault(masked, [0, judge.score(masked, w)])[0] += len(w)
-                for masked, (n, score) in own.items():
+                    own.setdefault(masked, [0, w])[0] += len(w)
+                for masked, (n, w) in own.items():
+                    score = judge.score(masked, w) if n >= ALONE[1] * total or not _HINTS.isdisjoint(w) else None
                     for k, v in zip(out, (site or "", masked, total, n, score)):
                         out[k].append(v)
             return out

@@ -30,7 +30,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^)\s]*[^)\n]*\)|<?(https?://[^\s>)]+)>?")
 _TAG = re.compile(r"(?<![^\s,;|])#[^\W_]\w*")
-_MARKS = re.compile(r" \| |>>|[★»•]")
+_MARKS = re.compile(r"[★»•]")
 
 #: Sizes of the parts of a shape: links, tags, echo, words, capitals, separators, sentence end, outgoing links of the page.
 PARTS = (5, 3, 6, 6, 3, 5, 2, 4)
@@ -48,9 +48,9 @@ def _bucket(x: float, bounds: tuple) -> int:
     return sum(x >= b for b in bounds)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words; where a script has no spaces, pairs of characters."""
-    words = _WORD.findall(text.lower())
+def words_of(text: str, raw: list[str] | None = None) -> list[str]:
+    """Lower-cased words (``raw``: if they are known already); where a script has no spaces, pairs of characters."""
+    words = list(map(str.lower, _WORD.findall(text) if raw is None else raw))
     if not text.isascii() and _UNSPACED.search(text):
         words = [p for w in words for p in ([w[i : i + 2] for i in range(max(len(w) - 1, 1))] if _UNSPACED.match(w) else [w])]
     return words
@@ -58,7 +58,7 @@ def words_of(text: str) -> list[str]:
 
 def shapes_of(body: list[tuple[int, str, str]], outgoing: int = 0) -> tuple[dict[int, int], int]:
     """Characters by shape code, and the words and links of the body. ``outgoing``: links of the page to other hosts."""
-    parsed, count, total, n_links = [], Counter(), 0, 0
+    parsed, everything, n_links = [], [], 0
     for _, sym, line in body:
         if sym in ("heading", "code"):
             continue
@@ -69,15 +69,16 @@ def shapes_of(body: list[tuple[int, str, str]], outgoing: int = 0) -> tuple[dict
             n_links += len(links)
         anchors = " ".join(a for a, _ in links)
         tags = _TAG.findall(text) if "#" in text else []
-        beside, inside = words_of(text), words_of(anchors) if anchors else []
-        total += len(beside) + len(inside)
-        count.update(beside)
-        count.update(inside)
-        parsed.append((line, text, links, tags, beside, inside))
+        raw = _WORD.findall(text)
+        beside, inside = words_of(text, raw), words_of(anchors) if anchors else []
+        everything += beside
+        everything += inside
+        parsed.append((line, text, links, tags, beside, inside, sum([w[0].isupper() for w in raw])))
+    count, total = Counter(everything), len(everything)
     held: dict[int, int] = defaultdict(int)
     load = _bucket(outgoing / max(len(parsed), 1), (0.01, 0.5, 0.9))
     scale = 1 / max(total, 1)
-    for line, text, links, tags, beside, inside in parsed:
+    for line, text, links, tags, beside, inside, upper in parsed:
         words = beside + inside
         n = len(words)
         link = 0
@@ -87,9 +88,8 @@ def shapes_of(body: list[tuple[int, str, str]], outgoing: int = 0) -> tuple[dict
         # how often a word of the line is met again on the page, per word of the page: prose says most of its words once or twice
         own = [count[w] - 1 for w in words if w not in COMMON]
         echo = _bucket(sum(own) / len(own) * scale, ECHO) if own else 0
-        upper = sum(map(str.isupper, map(lambda w: w[:1], _WORD.findall(text)))) if beside else 0
         capitals = 0 if not upper else 2 if upper * 2 > len(beside) else 1
-        seps = 1 if _MARKS.search(text) else 2 if text.count(",") * 4 >= max(n, 1) and "," in text else 3 if text.count("/") + text.count(";") >= 2 else 4 if "!" in text or "%" in text else 0
+        seps = 1 if " | " in text or ">>" in text or not text.isascii() and _MARKS.search(text) else 2 if text.count(",") * 4 >= max(n, 1) and "," in text else 3 if text.count("/") + text.count(";") >= 2 else 4 if "!" in text or "%" in text else 0
         ends = text.rstrip()[-1:] in (".", "!", "?", "。", "！", "？")
         code = 0
         for size, x in zip(PARTS, (link, tag, echo, _bucket(n, (1, 3, 7, 16, 41)), capitals, seps, int(ends), load)):
