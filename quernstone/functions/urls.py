@@ -90,7 +90,7 @@ def navigable(url: Column) -> Column:
     """Not below an asset folder and without an asset's extension."""
     path = F.lower(F.trim(part(url, 3)))
     ext = F.regexp_extract(path, "(\\.[^./]*)$", 1)
-    return ~path.rlike("^/(img|images|contentimages|productimages|js|css|fonts|assets|static)/") & ~ext.isin(*ASSET_EXTENSIONS)
+    return ~path.rlike(f"^({'|'.join(ASSET_PREFIXES)})") & ~ext.isin(*ASSET_EXTENSIONS)
 
 
 def _without_dots(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.urls import normalize_url, url_hash
-from quernstone.session import written
+from quernstone.session import written, written_by
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -34,30 +34,45 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     """(id, score): power iteration from 1/N until no score changes by the tolerance; the mass of nodes without links is lost.
 
     Repeated edges are counted into a weight first, so a target of a third of all edges gets one pre-aggregated sum per
-    partition. Ranks are written every few rounds, where the change is looked at; ValueError on an empty graph.
+    partition. Edges stay where their source is and nodes where their id is: a round shuffles the pre-aggregated sums and nothing
+    else. Ranks are written every few rounds, where the
+    change is looked at; the rounds before the one that settled are then gone through one by one, so the result is that of the first
+    round after which nothing moves. ValueError on an empty graph.
     """
     e = good_edges(edges).groupBy("src", "dst").agg(F.count("*").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("all"))
-    shares = written(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")))
-    nodes = written(nodes_of(shares))
+    shares = written_by(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "src")
+    nodes = written_by(nodes_of(shares), "id")
     n = nodes.count()
     if not n:
         raise ValueError("the graph is empty")
-    ranks = nodes.select("id", F.lit(1.0 / n).alias("score"))
-    done = 0
+
+    def step(ranks: DataFrame) -> DataFrame:
+        sums = shares.hint("merge").join(ranks, shares.src == ranks.id).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        return nodes.hint("merge").join(sums, nodes.id == sums.dst, "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+
+    def settled(ranks: DataFrame, before: DataFrame) -> tuple[DataFrame, bool]:
+        both = written_by(ranks.join(before.withColumnRenamed("score", "old"), "id"), "id")
+        return both.select("id", "score"), both.agg(F.max(F.abs(F.col("score") - F.col("old"))).alias("d")).first()["d"] < tolerance
+
+    ranks, done = nodes.select("id", F.lit(1.0 / n).alias("score")), 0
     while done < iterations:
-        for _ in range(min(every, iterations - done)):
-            before = ranks
-            sums = shares.join(ranks, shares.src == ranks.id).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-            ranks = nodes.join(sums, nodes.id == sums.dst, "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-            done += 1
+        start, rounds = ranks, min(every, iterations - done)
+        for _ in range(rounds):
+            before, ranks = ranks, step(ranks)
+        done += rounds
         if tolerance > 0:
-            both = written(ranks.join(before.withColumnRenamed("score", "old"), "id"))
-            ranks = both.select("id", "score")
-            if both.agg(F.max(F.abs(F.col("score") - F.col("old"))).alias("d")).first()["d"] < tolerance:
+            ranks, end = settled(ranks, before)
+            if end:
+                # the first round of these after which nothing moves any more
+                ranks = start
+                for _ in range(rounds):
+                    ranks, end = settled(step(ranks), ranks)
+                    if end:
+                        break
                 break
         elif done < iterations:
-            ranks = written(ranks)
+            ranks = written_by(ranks, "id")
     return ranks
 
 

@@ -16,6 +16,7 @@ from quernstone.operators.index import NotFound, SearchIndex
 from quernstone.operators.rank import ScorerConfig, combined_scores
 from quernstone.operators.retrieve import find
 from quernstone.plans.query import QueryType, SearchConfig, cache_key, parse
+from quernstone.session import written
 
 
 @dataclass
@@ -126,12 +127,9 @@ class Searcher:
 
 
 def rank_all(scores: DataFrame, parts: int = 64) -> DataFrame:
-    """Scores with their position among all, without one task for all rows: ranges of the order are ranked by themselves and
-    moved by the sizes of the ranges before."""
-    bounds = scores.approxQuantile("score", [i / parts for i in range(1, parts)], 0.001)
-    edges = sorted(set(bounds))
-    part = sum((F.when(F.col("score") <= e, 1).otherwise(0) for e in edges), F.lit(0)) if edges else F.lit(0)
-    rows = scores.withColumn("_part", part)
+    """Scores with their position among all, without one task for all rows: ranges of the order by score and id are ranked by
+    themselves and moved by the sizes of the ranges before. Rows of equal scores spread over ranges like any others."""
+    rows = written(scores.repartitionByRange(parts, F.desc("score"), "doc_id").withColumn("_part", F.spark_partition_id()))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("score"), "doc_id"))

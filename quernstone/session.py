@@ -31,10 +31,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def _local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder of this machine, which is shared by all executors only in a local session."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder all executors share: below spark.checkpoint.dir, or a local one only where that is not set (a local session, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{uuid.uuid4()}" if base else _local_folder(spark, "shared-")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,10 +49,23 @@ def written(df: DataFrame) -> DataFrame:
     lineage is cut and the loss of executors does no harm. Only where no folder is set (a local session, as in tests) one is made."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _local_folder(df.sparkSession, "checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def written_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` checkpointed in partitions by ``keys`` that later joins and aggregates on these know of, so that it is not shuffled again.
+
+    A plan that may change while it runs does not tell its partitioning, so it is held still for this write."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return written(df.repartition(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table just read, over all cores if its files make fewer than half as many tasks.
 

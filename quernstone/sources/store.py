@@ -42,7 +42,9 @@ class PageStore:
 
     def _write(self, pages: DataFrame, path: str, mode: str) -> None:
         rows = pages.withColumn("prefix", F.substring("id", 1, 2))
-        writer = rows.repartition("prefix").write.mode(mode).partitionBy("prefix")
+        # as many tasks as the session shuffles into, however few prefixes there are
+        salts = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 256))
+        writer = rows.repartition("prefix", F.pmod(F.xxhash64("id"), F.lit(salts))).write.mode(mode).partitionBy("prefix")
         (writer.option("compression", "gzip") if self.kind == "json" else writer).format(self.kind).save(path)
 
     def save(self, pages: DataFrame) -> None:
@@ -81,11 +83,16 @@ def hadoop_path(spark: SparkSession, path: str):
 
 
 def swap(spark: SparkSession, new: str, old: str) -> None:
-    """Put ``new`` in the place of ``old``."""
-    (a, fs), (b, _) = hadoop_path(spark, new), hadoop_path(spark, old)
-    fs.delete(b, True)
+    """Put ``new`` in the place of ``old``, which is kept aside until then: whenever this ends, one of the two is whole."""
+    (a, fs), (b, _), (aside, _) = hadoop_path(spark, new), hadoop_path(spark, old), hadoop_path(spark, old + ".old")
+    if fs.exists(aside):  # left by a swap that did not end
+        fs.delete(aside, True) if fs.exists(b) else fs.rename(aside, b)
+    moved = fs.exists(b) and fs.rename(b, aside)
     if not fs.rename(a, b):
+        if moved:
+            fs.rename(aside, b)
         raise StoreError(f"{new} could not be moved to {old}", "Check the permissions of the folder")
+    fs.delete(aside, True)
 
 
 def copy(spark: SparkSession, path: str, to: str) -> None:
