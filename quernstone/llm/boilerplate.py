@@ -67,8 +67,9 @@ _HOST = re.compile(r"^https?://(?:[^/?#@]*@)?([^/?#:]+)")
 _CRUMB_CUT = re.compile(r" (?:›|»|>|/|→) ")
 _SPACE = re.compile(r"\s+")
 _URL = re.compile(r"\]\([^)\s]*\)|https?://\S+")
-_DIGITS = re.compile(r"\d+")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©«»›|~/=]")
+# With a pattern that finds the same in ASCII, only faster, in second place.
+_DIGITS = re.compile(r"\d+"), re.compile(r"[0-9]+")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©«»›|~/=]"), re.compile(r"[A-Za-z]+|[0-9]+|[|~/=]")
 _ENDS = frozenset(".!?:;…\"”»')")
 
 
@@ -86,9 +87,10 @@ def tokens_of(line: str, name: str = "", head: str = "") -> list[str]:
         low = _SPACE.sub(" ", low).replace(head, " = ")
     if name and name in low:
         low = low.replace(name, " ~ ")
-    if _DIGITS.search(low):
-        low = _DIGITS.sub("0", low)
-    return _TOKEN.findall(low)
+    plain_text = low.isascii()
+    if (digits := _DIGITS[plain_text]).search(low):
+        low = digits.sub("0", low)
+    return _TOKEN[plain_text].findall(low)
 
 
 def holds_title(line: str, head: str) -> bool:
@@ -123,8 +125,7 @@ def line_form(line: str, site: str | None) -> int:
         return _SYM["crumb"]
     if " | " in low and (parts := low.split(" | ")) and n <= 4 * len(parts):
         return _SYM["pipes"]
-    letters = next(_WORD.finditer(low), None)
-    if letters is None:
+    if not _WORD.search(low):
         return _FIGURES
     if n >= 6 and ends:
         return _SYM["sentence"]
@@ -452,6 +453,12 @@ def body_lines(lines: list[str], forms: list[int], drop: set[int]) -> list[tuple
     return [(i, "" if forms[i] < 0 else "heading" if forms[i] == _TITLE else SYMBOLS[forms[i]], line) for i, line in enumerate(lines) if i not in drop and (forms[i] >= 0 or line.strip())]
 
 
+def bodies_of(model: TreeModel, rows: list) -> list[list[tuple[int, str, str]]]:
+    """body_lines of labelled pages, from which the models that judge main bodies are learned."""
+    found = BodyFinder(model)([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])[0]
+    return [body_lines(*f) for f in found]
+
+
 def labelled_pages(docs: DataFrame, labels: DataFrame, sample: int = 2000, max_chars: int = 50_000) -> list:
     """Rows (id, site, title, content_markdown, links, kind) of at most ``sample`` labelled pages, those of the smallest hashed ids, of
     at most ``max_chars`` characters. Null labels are left out; of several labels of a page the most frequent counts, then the

@@ -105,8 +105,9 @@ def p7_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     m = _models(spark, d)
-    shapes, words = spam.fit(m.tree, m.rows), residue.fit(m.tree, m.rows)
-    rows = written(quality.not_prose_candidates(m.docs, m.tree, quality.fit(m.tree, m.rows), shapes, words))
+    bodies = boilerplate.bodies_of(m.tree, m.rows)
+    shapes, words = spam.fit(m.tree, m.rows, bodies), residue.fit(m.tree, m.rows, bodies=bodies)
+    rows = written(quality.not_prose_candidates(m.docs, m.tree, quality.fit(m.tree, m.rows, bodies), shapes, words))
     others = residue.decide(rows, words).select("id").unionByName(spam.spam_of(rows, shapes).select("id"))
     return rows.where("bad").select("id").join(others, "id", "left_anti")
 

@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.boilerplate import BodyFinder, TreeModel, WordFit, Words, body_lines, tokens_of
-from quernstone.llm.common import filler_words, map_rows, page_texts, site_name
+from quernstone.llm.boilerplate import BodyFinder, TreeModel, WordFit, Words, bodies_of, body_lines, tokens_of
+from quernstone.llm.common import filler_words, map_rows, page_texts, runs_of_letters, site_name
 
 #: Parameters: sources on which a message must recur to be judged; share of the words that residue must hold.
 SOURCES, SHARE = 3, 0.5
@@ -32,6 +32,7 @@ _PLACEHOLDER = re.compile(
     r"|(?<![\w#])#([A-Z][A-Z_]*)#(?!\w)|\[(?:INSERT |insert |Insert )([^\]\[]+?)(?: HERE| here)?\](?!\()|\[([A-Z][A-Z_]{2,})\](?!\()|(?<!\w)__([A-Z][A-Z_]*[A-Z])__(?!\w)"
     r"|<([A-Za-z_]+) goes here>|(?<![\w%])%([A-Za-z_]{3,})%(?!\w)|(?<![\w${#\\])\{([a-z]+(?:_[a-z]+)*)\}"
 )
+_OPENS = re.compile(r"[{$<@#\[_%]")
 # Usual names of template fields.
 _FIELDS = frozenset("author category city company country customer date default description email first_name headline last_name name order page page_title phone price product product_name subject summary tagline text title url user user_name username".split())
 
@@ -51,6 +52,21 @@ _MESSAGE = re.compile(
     r"|\bno tiene permiso\b|\bya no existe en\b|^la página que busca|\bha fallado en el servidor\b|^inténtelo de nuevo|\bdebe activar (javascript|los scripts)|^acceso denegado|^página no encontrada|\bsu sesión ha (caducado|expirado)|\ben mantenimiento\b"
 )
 _WEAK = re.compile(r"\b(error|not found|denied|forbidden|unavailable|expired|maintenance|unsupported|try again|reload|sign in again|captcha|fehler|verweigert|abgelaufen|nicht gefunden|erreur|refusé|introuvable|indisponible|denegado|no encontrada|caducad[oa]|no disponible)\b")
+# Pieces of text one of which every match of the rules holds. They are looked for first, since that takes a tenth of the time.
+_STRONG_PIECES = tuple(
+    """[object object]|undefined undefined|invalid date|hello | in null| in undefined|eerror|xerror|yerror|nullpointerexception|cannot read propert|warning: |fatal: |error: |notice: |critical: |could not connect to
+    |failed to open stream|traceback (most recent|stack trace:|exception in thread|sql syntax|sqlstate[|todo write|this is sample|this is placeholder|this is dummy|goes in this place|click edit to change
+    |add a short description of your|replace it with your own|lorem ipsum""".replace("\n    ", "").split("|")
+)
+_MESSAGE_PIECES = tuple(
+    """page you|page that you|could not be found|page not found|this page is gone|session has |session expired|checking your browser|this can take a few seconds|just a moment|loading|javascript| scripts|browser is |have permission
+    |have access|have the right|access denied|access forbidden|forbidden|something went wrong|please try again later|maintenance|service unavailable|sent more requests than|too many requests|rate limit|we looked everywhere
+    |try the search box|internal server error|bad gateway|gateway time|keine berechtigung|zugriff verweigert|aktivieren sie |interner fehler|bitte versuchen sie es später|gesuchte seite|seite nicht gefunden|wartungsarbeiten
+    |sitzung ist abgelaufen|n'existe plus sur|la page que vous cherchez|le service est fermé|revenez plus tard|pas le droit de voir|devez activer |accès refusé|page introuvable|s'est produite|votre session a expiré
+    |no tiene permiso|ya no existe en|la página que busca|ha fallado en el servidor|inténtelo de nuevo|debe activar |acceso denegado|página no encontrada|su sesión ha |en mantenimiento""".replace("\n    ", "").split("|")
+)
+_WEAK_PIECES = tuple("error|not found|denied|forbidden|unavailable|expired|maintenance|unsupported|try again|reload|sign in again|captcha|fehler|verweigert|abgelaufen|nicht gefunden|erreur|refusé|introuvable|indisponible|denegado|no encontrada|caducad|no disponible".split("|"))
+_RULES = ((2, _STRONG_PIECES, _STRONG), (2, _MESSAGE_PIECES, _MESSAGE), (1, _WEAK_PIECES, _WEAK))
 # Words one of which every rule above needs; a segment without any is under no rule, and is not masked.
 _HINTS = frozenset(
     """object undefined invalid null nan connect critical typeerror referenceerror syntaxerror valueerror keyerror attributeerror nullpointerexception runtimeerror property properties warning fatal notice parse
@@ -62,7 +78,8 @@ _HINTS = frozenset(
 # A reference beside a message says nothing either way.
 _NEUTRAL = re.compile(r"^(ref|reference|path|url|host|server|time|request id|error id|trace|trace id|code|incident|ray id)\b\W*\w+\W*$|^\W*$")
 _WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"(?<=[.!?:])\s+")
+# Blanks after a mark. The blank stands first in the pattern, since it is what is looked for fastest.
+_SENTENCE = re.compile(r"\s(?<=[.!?:]\s)\s*")
 _INLINE = re.compile(r"`[^`\n]*`")
 _MASK = re.compile(r"<?(?:https?://|www\.)[^\s>)]+>?|[\w.+-]+@[\w-]+\.[\w.]+|\d+(?:[.,:/-]\d+)*")
 # Addresses within a machine: paths and files; and the names of things in program output.
@@ -91,7 +108,7 @@ def mask(text: str, name: str = "", words: list[str] | None = None) -> str:
 
 
 def placeholders(text: str) -> list[str]:
-    return [next(g for g in m.groups() if g) for m in _PLACEHOLDER.finditer(text)] if any(c in text for c in "{$<@#[_%") else []
+    return [next(g for g in m.groups() if g) for m in _PLACEHOLDER.finditer(text)] if _OPENS.search(text) else []
 
 
 def title_unfilled(title: str | None, name: str = "") -> bool:
@@ -125,7 +142,13 @@ def rule_of(masked: str, words: set[str] | list[str]) -> int:
     if _HINTS.isdisjoint(words):
         return 0
     plain = masked.strip("*_#>-• ")
-    return 2 if _STRONG.search(plain) or _MESSAGE.search(plain) else 1 if _WEAK.search(plain) else 0
+    for rule, pieces, pattern in _RULES:
+        for piece in pieces:
+            if piece in plain:
+                if pattern.search(plain):
+                    return rule
+                break
+    return 0
 
 
 def unfilled(part: str, words: list[str]) -> bool:
@@ -146,7 +169,7 @@ def segments_of(body: list[tuple[int, str, str]], name: str) -> list[tuple[str,
             heads.append(line.lstrip("# "))
             continue
         for part in _SENTENCE.split(line.strip()) if len(line) > 40 else (line,):
-            if words := _WORD.findall(part.lower()):
+            if words := runs_of_letters(part.lower()):
                 masked = mask(part, name, words)
                 if len(words) > 4 or not _NEUTRAL.match(masked):
                     out.append((masked, words, unfilled(part, words)))
@@ -182,16 +205,15 @@ def alone_range(share: float) -> int:
     return sum(share >= x for x in ALONE)
 
 
-def fit(tree: TreeModel, rows: list, steps: int = 120) -> Words:
+def fit(tree: TreeModel, rows: list, steps: int = 120, bodies: list | None = None) -> Words:
     """Evidence of messages from the labelled pages (see boilerplate.labelled_pages): of the segments on two of their sources or more, how
-    many of their pages are labelled as errors. Without any the starting weights stand."""
+    many of their pages are labelled as errors. Without any the starting weights stand. ``bodies``: of the rows, if they are known."""
     start = start_words()
     if not rows:
         return start
-    found = BodyFinder(tree)([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])[0]
     met: dict[str, list] = {}
-    for r, f in zip(rows, found):
-        own = segments_of(body_lines(*f), site_name(r.site))
+    for r, body in zip(rows, bodies or bodies_of(tree, rows)):
+        own = segments_of(body, site_name(r.site))
         total = sum(len(w) for _, w, _ in own)
         share: dict[str, float] = defaultdict(float)
         for masked, words, blank in own:

@@ -14,6 +14,7 @@ on. A page is spam if shapes that are not those of sentences hold most of its te
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -21,11 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.boilerplate import BodyFinder, TreeModel, body_lines
-from quernstone.llm.common import COMMON, map_rows, page_texts
+from quernstone.llm.boilerplate import BodyFinder, TreeModel, bodies_of, body_lines
+from quernstone.llm.common import COMMON, map_rows, page_texts, runs_of_letters
 from quernstone.session import written
 
-_WORD = re.compile(r"[^\W\d_]+")
+# In ASCII: the capital at the beginning of a word.
+_CAPITAL = re.compile(r"[A-Z](?<![A-Za-z][A-Z])")
 # Scripts written without spaces: a run of them is cut into pairs of characters.
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^)\s]*[^)\n]*\)|<?(https?://[^\s>)]+)>?")
@@ -45,13 +47,15 @@ LEAST = 5
 
 
 def _bucket(x: float, bounds: tuple) -> int:
-    return sum(x >= b for b in bounds)
+    return bisect_right(bounds, x)
 
 
 def words_of(text: str, raw: list[str] | None = None) -> list[str]:
     """Lower-cased words (``raw``: if they are known already); where a script has no spaces, pairs of characters."""
-    words = list(map(str.lower, _WORD.findall(text) if raw is None else raw))
-    if not text.isascii() and _UNSPACED.search(text):
+    if text.isascii():
+        return runs_of_letters(text.lower())
+    words = list(map(str.lower, runs_of_letters(text) if raw is None else raw))
+    if _UNSPACED.search(text):
         words = [p for w in words for p in ([w[i : i + 2] for i in range(max(len(w) - 1, 1))] if _UNSPACED.match(w) else [w])]
     return words
 
@@ -69,11 +73,12 @@ def shapes_of(body: list[tuple[int, str, str]], outgoing: int = 0) -> tuple[dict
             n_links += len(links)
         anchors = " ".join(a for a, _ in links)
         tags = _TAG.findall(text) if "#" in text else []
-        raw = _WORD.findall(text)
+        raw = None if text.isascii() else runs_of_letters(text)
+        upper = len(_CAPITAL.findall(text)) if raw is None else sum([w[0].isupper() for w in raw])
         beside, inside = words_of(text, raw), words_of(anchors) if anchors else []
         everything += beside
         everything += inside
-        parsed.append((line, text, links, tags, beside, inside, sum([w[0].isupper() for w in raw])))
+        parsed.append((line, text, links, tags, beside, inside, upper))
     count, total = Counter(everything), len(everything)
     held: dict[int, int] = defaultdict(int)
     load = _bucket(outgoing / max(len(parsed), 1), (0.01, 0.5, 0.9))
@@ -86,8 +91,8 @@ def shapes_of(body: list[tuple[int, str, str]], outgoing: int = 0) -> tuple[dict
             link = 4 if not inside and len(beside) < 3 * len(links) else 3 - _bucket(len(beside) / len(links), (3, 8))
         tag = 0 if not tags else 2 if sum(map(len, tags)) * 2 >= len(text.strip()) else 1
         # how often a word of the line is met again on the page, per word of the page: prose says most of its words once or twice
-        own = [count[w] - 1 for w in words if w not in COMMON]
-        echo = _bucket(sum(own) / len(own) * scale, ECHO) if own else 0
+        own = [w for w in words if w not in COMMON]
+        echo = _bucket((sum(map(count.__getitem__, own)) - len(own)) / len(own) * scale, ECHO) if own else 0
         capitals = 0 if not upper else 2 if upper * 2 > len(beside) else 1
         seps = 1 if " | " in text or ">>" in text or not text.isascii() and _MARKS.search(text) else 2 if text.count(",") * 4 >= max(n, 1) and "," in text else 3 if text.count("/") + text.count(";") >= 2 else 4 if "!" in text or "%" in text else 0
         ends = text.rstrip()[-1:] in (".", "!", "?", "。", "！", "？")
@@ -177,13 +182,13 @@ def foreign_links(links: list | None, site: str | None) -> int:
     return sum(bool(x) and x[:4].lower() == "http" and (not site or f"{site}/" not in f"{x}/") for x in links or ())
 
 
-def fit(tree: TreeModel, rows: list) -> ShapeModel:
-    """Shapes of sentences and of spam, from the labelled pages (see boilerplate.labelled_pages); without any the starting weights stand."""
+def fit(tree: TreeModel, rows: list, bodies: list | None = None) -> ShapeModel:
+    """Shapes of sentences and of spam, from the labelled pages (see boilerplate.labelled_pages); without any the starting weights stand.
+    ``bodies``: of the rows, if they are known."""
     start = ShapeModel.start()
     if not rows:
         return start
-    found = BodyFinder(tree)([r.content_markdown for r in rows], [r.site for r in rows], [r.title for r in rows])[0]
-    shapes = [shapes_of(body_lines(*f), foreign_links(r.links, r.site)) for f, r in zip(found, rows)]
+    shapes = [shapes_of(body, foreign_links(r.links, r.site)) for body, r in zip(bodies or bodies_of(tree, rows), rows)]
     judged = [(held, r.kind == "spam") for (held, n), r in zip(shapes, rows) if held and n >= LEAST]
     return start.learn([h for h, _ in judged], [y for _, y in judged])
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernstone.llm import boilerplate, catalogue, markup, quality, repeats, residue, spam
-from quernstone.llm.common import current_pages, host, site_name
+from quernstone.llm.common import COMMON, current_pages, host, runs_of_letters, site_name
 from quernstone.session import written
 
 #: The columns of docs, and columns whose names the operators use themselves.
@@ -552,6 +552,64 @@ def test_hmm_training_and_transitions_decide():
     assert alone[0]["table"] < 1 or alone[1]["list"] < 1
 
 
+MIXED_TEXT = st.text(st.sampled_from("aZéß İ中x09٣_.,:;|/~=«#*-!\t"), max_size=60)
+
+
+@given(MIXED_TEXT, st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_ascii_is_read_like_any_text(text, only_ascii):
+    """The faster patterns for ASCII find what the general ones find; counts are those of the definitions."""
+    text = "".join(c for c in text if c.isascii()) if only_ascii else text
+    words = re.findall(r"[^\W\d_]+", text)
+    assert runs_of_letters(text) == words
+    assert spam.words_of(text + " é")[:-1] == spam.words_of(text) if text.isascii() else True
+    assert boilerplate.tokens_of(text + " é") == [*boilerplate.tokens_of(text), "é"]
+    assert residue._SENTENCE.split(text) == re.split(r"(?<=[.!?:])\s+", text)
+    own = text.strip(" \t*-")
+    words, digits, solid = re.findall(r"[^\W\d_]+", own), sum(c.isdecimal() for c in own), len("".join(own.split()))
+    counts = dict(zip(quality.COUNTS, quality.observe(own)[1]))
+    if not re.match(r"\s*\d+[.)]\s", own):
+        assert (counts["words"], counts["letters"], counts["digits"]) == (len(words), sum(map(len, words)), digits)
+        assert counts["marks"] == solid - counts["letters"] - digits and counts["common"] == sum(w.lower() in COMMON for w in words)
+
+
+@given(st.one_of(*[st.tuples(st.just(rule), st.from_regex(p)) for rule, p in ((2, residue._STRONG), (2, residue._MESSAGE), (1, residue._WEAK))]))
+@settings(max_examples=1500, deadline=None)
+def test_rules_hold_their_pieces(case):
+    """Whatever a rule matches holds one of its pieces, and each wording of the rules is found."""
+    rule, text = case
+    plain = text.strip("*_#>-• ")
+    expected = 2 if residue._STRONG.search(plain) or residue._MESSAGE.search(plain) else 1 if residue._WEAK.search(plain) else 0
+    assert residue.rule_of(text, ["error"]) == expected
+    pattern = residue._RULES[2] if rule == 1 else None
+    assert any(piece in text for _, pieces, p in ([pattern] if pattern else residue._RULES[:2]) for piece in pieces)
+
+
+def test_not_prose_is_what_the_shares_say():
+    """Without the other statistics and put into ranges in groups of any size, bodies are judged the same."""
+    bodies = [[(i, "other", x) for i, x in enumerate(t.split("\n"))] for t in (PROSE, "", LIST, TABLE, JUNK, PROSE + "\n" + LIST, "")]
+    shares = quality.Prose(HMM)(bodies)
+    assert quality.Prose(HMM).not_prose(bodies) == [r["lines"] > 0 and 1 - r["prose"] >= quality.NOT_PROSE for r in shares]
+    assert quality.Prose(HMM).not_prose([]) == []
+    lines = [quality.judged_lines(b) for b in bodies]
+    for at_once in (1, 3, 30):
+        for a, b in zip(quality.sequences(lines, at_once), quality.sequences(lines), strict=True):
+            assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and a[1].shape[1] == len(quality.NAMES) + 1
+
+
+def test_labelled_bodies_are_found_once(spark, folder, monkeypatch):
+    """The models of p7_found learn from one reading of the labelled pages, and learn what each learns from its own."""
+    calls, whole = [], boilerplate.BodyFinder.__call__
+    monkeypatch.setattr(boilerplate.BodyFinder, "__call__", lambda self, texts, *a, **k: calls.append(len(texts)) or whole(self, texts, *a, **k))
+    catalogue.p7_found(spark, folder)
+    assert len(calls) == 1
+    rows = [labelled(kind, text, i=i) for i, (kind, text) in enumerate([("prose", sentences(1)), ("list", LIST), ("spam", TAGS), ("junk", JUNK), ("table", TABLE)] * 3)]
+    bodies = boilerplate.bodies_of(START, rows)
+    assert np.array_equal(spam.fit(START, rows).weights, spam.fit(START, rows, bodies).weights)
+    assert residue.fit(START, rows) == residue.fit(START, rows, bodies=bodies)
+    assert all(np.array_equal(a, b) for a, b in zip(quality.fit(START, rows).emit, quality.fit(START, rows, bodies).emit))
+
+
 # -- queries, held-out accuracy
 
 
